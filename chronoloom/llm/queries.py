@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm import bpe, leaks, quantiles
+from chronoloom.llm import bpe, cuts, leaks, quantiles
 from chronoloom.operators.readings import readings
 from chronoloom.plans.tables import table
 from chronoloom.session import sized_join
@@ -49,7 +49,16 @@ def p7_leaked_items(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count("*").alias("pages"), F.round(F.max("share"), 6).alias("greatest_share"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_percentiles, p6_ids, p7_found, p7_leaked_items)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return cuts.cut_documents(table(spark, d, "documents"))
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    """How often each source cuts."""
+    return cuts.cut_rates(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p5_percentiles, p6_ids, p7_found, p7_leaked_items, p8_found, p8_rates)}
 
 ORACLES = {
     "p5_found": """WITH h AS (SELECT DISTINCT series_key, label_value FROM series_labels WHERE label_key = 'hostname' AND label_value <> ''
