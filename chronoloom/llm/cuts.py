@@ -189,21 +189,21 @@ def features(tail: str, source: str, declared: str, n: int, same: float, near: f
     return out
 
 
-def hashed(names: list[str]) -> list[int]:
-    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1) for x in names]
+def hashed(names: list[str]) -> np.ndarray:
+    return np.array([zlib.crc32(x.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1) for x in names], np.int32)
 
 
-def fit(rows: list[list[int]], labels: np.ndarray, rounds: int = 16, rate: float = 0.1, decay: float = 5e-5) -> np.ndarray:
+def fit(rows: list[np.ndarray], labels: np.ndarray, rounds: int = 16, rate: float = 0.1, decay: float = 5e-5) -> np.ndarray:
     """Logistic regression by AdaGrad over hashed features, both labels weighted alike, in a fixed order of rows."""
     theta = np.zeros(1 << BITS)
     if not len(rows):
         return theta
     sizes = np.array([len(r) for r in rows])
-    flat = np.array([x for r in rows for x in r], np.int64)
+    flat = np.concatenate(rows)
     names, ids, count = np.unique(flat, return_inverse=True, return_counts=True)
     used = (count >= SUPPORT)[ids]
-    row_of = np.repeat(np.arange(len(rows)), sizes)[used]
-    ids = ids[used]
+    row_of = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)[used]
+    ids = ids[used].astype(np.int32)
     starts = np.concatenate([[0], np.cumsum(np.bincount(row_of, minlength=len(rows)))])
     weights = np.where(labels == 1, 0.5 * len(labels) / max(1, labels.sum()), 0.5 * len(labels) / max(1, (labels == 0).sum()))
     w, gain = np.zeros(len(names)), np.full(len(names), 1e-2)
@@ -219,18 +219,18 @@ def fit(rows: list[list[int]], labels: np.ndarray, rounds: int = 16, rate: float
             g = np.bincount(x, ((p - labels[batch]) * weights[batch])[row], len(names)) / len(batch) + decay * w
             gain += g * g
             w -= rate * g / np.sqrt(gain)
-    theta[names] = w
+    theta[names] = w  # features below the support have kept 0
     return theta
 
 
-def train(rows: list[tuple], labels: np.ndarray, folds: int = 3) -> np.ndarray:
-    """Weights of the classifier.
+def train(rows: list[tuple[int, np.ndarray]], labels: np.ndarray, folds: int = 3) -> np.ndarray:
+    """Weights of the classifier from rows (a hash that splits them, features).
 
     Some texts taken as they are (label 0) were cut in truth. Each fold is scored by a classifier that has not seen
     it, those that look cut are left out, and the classifier is fitted on the rest.
     """
-    x = [hashed(features(*r)) for r in rows]
-    fold = np.array([zlib.crc32(r[0][-60:].encode("utf-8", "surrogatepass")) % folds for r in rows])
+    x = [r for _, r in rows]
+    fold = np.array([h % folds for h, _ in rows])
     keep = labels == 1
     for f in range(folds):
         seen = np.flatnonzero(fold != f)
@@ -278,10 +278,11 @@ def score_cuts(documents: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
     made = [with_stats(artificial(sample), dense, bdense, lines, 0), with_stats(picked.drop("text"), dense, bdense, lines, 1).where(seems_intact())]
     data, labels = [], []
     for label, df in zip((1, 0), made):
-        got = df.select(*_COLUMNS).toArrow().to_pydict()
-        part = sorted(zip(*(got[c] for c in _COLUMNS)))
-        data += part
+        got = df.select(*_COLUMNS).toArrow()
+        part = sorted(zip(*(got[c].to_pylist() for c in _COLUMNS)))
+        data += [(zlib.crc32(r[0][-60:].encode("utf-8", "surrogatepass")), hashed(features(*r))) for r in part]
         labels += [label] * len(part)
+        del got, part
     theta = train(data, np.array(labels)) if data else np.zeros(1 << BITS)
     scored = with_stats(short, dense, bdense, lines, 1)
     return scored.mapInArrow(_score(spark.sparkContext.broadcast(theta)), "doc_id long, source string, score double")
