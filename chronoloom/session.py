@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +31,20 @@ def session(app: str = "chronoloom", master: str | None = None, **conf: str) ->
     return b.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Puts this package on the executors, once per application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_chronoloom_shipped", False):
+        return
+    home = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="chronoloom-")) / "chronoloom.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(home.rglob("*.py")):
+            z.write(f, f.relative_to(home.parent))
+    sc.addPyFile(str(target))  # served by the driver; the folder is not read by executors
+    sc._chronoloom_shipped = True
+
+
 def shared_checkpoints(spark: SparkSession) -> None:
     """Use the folder named by spark.checkpoint.dir; set a local one only where none is named (tests)."""
     sc = spark.sparkContext
