@@ -290,7 +290,7 @@ def _item_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def find_leaks(documents: DataFrame, items: DataFrame, share: float = SHARE, block: int = ITEMS) -> DataFrame:
     """doc_id, item_id and the share of the item's own words found, one row per page and item.
 
-    Null and empty texts and passages, and passages of fewer than WINDOW words, give no rows; rows of `documents`
+    Null and empty texts and passages, null ids, and passages of fewer than WINDOW words give no rows; rows of `documents`
     that repeat give one row; every mirror of a page is found by itself; an empty table on either side gives no rows;
     other columns are ignored. Texts are read whole, whatever their length.
     """
