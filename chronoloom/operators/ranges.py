@@ -172,6 +172,7 @@ def range_rows(ts: TimeSeries, selected: DataFrame, spec: RangeSpec) -> DataFram
 def range_query(ts: TimeSeries, key: str, spec: RangeSpec) -> DataFrame:
     """One series: ts, value …, ordered."""
     one = ts.series.where(F.col("series_key") == key)
-    rows = range_rows(ts.with_samples(ts.samples.where(F.col("series_key") == key)), one, spec).drop("series_key")
+    base = ts if spec.latest else ts.with_samples(ts.samples.where(F.col("series_key") == key))
+    rows = range_rows(base, one, spec).drop("series_key")
     rows = rows.orderBy(F.desc("ts") if spec.reverse else F.asc("ts"))
     return rows.limit(spec.count) if spec.count else rows

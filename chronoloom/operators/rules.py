@@ -129,12 +129,16 @@ def refresh(dest: DataFrame, samples: DataFrame, rules: DataFrame, changes: Data
     """Destination samples (series_key, ts, value) after late rows or deletions.
 
     Only the touched buckets of the rules concerned are computed anew from `samples` (the state after the change) and
-    replaced; a closed bucket that has no sample left goes, the source's open bucket is not written.
+    replaced, and buckets that the change closed are added; a closed bucket that has no sample left goes, the source's
+    open bucket is not written.
     """
     touched = touched_buckets(changes, rules)
     hit = clean_rules(rules).join(changes.select("series_key").distinct(), "series_key", "left_semi")
     again = hit.select(F.col("series_key").alias("source_key"), "dest_key", "agg", "bucket_ms", "align_ms")
     source = sized_join(samples, hit.select("series_key").distinct(), ["series_key"], "left_semi")
-    new = closed_buckets(source, again).join(touched.select("dest_key", "ts").distinct(), ["dest_key", "ts"], "left_semi")
+    have = dest.groupBy(F.col("series_key").alias("dest_key")).agg(F.max("ts").alias("_have"))
+    hits = touched.select("dest_key", "ts", F.lit(True).alias("_hit")).distinct()
+    new = closed_buckets(source, again).join(hits, ["dest_key", "ts"], "left").join(have, "dest_key", "left")
+    new = new.where(F.col("_hit") | F.col("_have").isNull() | (F.col("ts") > F.col("_have"))).select("dest_key", "ts", "value")
     gone = touched.select(F.col("dest_key").alias("series_key"), "ts").distinct()
     return dest.join(gone, ["series_key", "ts"], "left_anti").select("series_key", "ts", "value").unionByName(new.withColumnRenamed("dest_key", "series_key"))
