@@ -9,7 +9,7 @@ from chronoloom.functions.aggregates import NAMES, aggregate
 from chronoloom.operators.neighbours import with_neighbours
 from chronoloom.operators.readings import floor_to, numbers, readings
 from chronoloom.operators.twa import area_and_width
-from chronoloom.session import sized_join
+from chronoloom.session import checkpointed, sized_join
 
 #: Periods that one step of the sequence generator makes at a time; bounds the arrays, not the result.
 STEP = 4096
@@ -24,7 +24,7 @@ def clean_rules(rules: DataFrame) -> DataFrame:
         .select(
             F.col("source_key").alias("series_key"),
             "dest_key",
-            F.lower(F.trim("agg")).alias("agg"),
+            F.coalesce(F.lower(F.trim("agg")), F.lit("")).alias("agg"),
             F.col("bucket_ms").cast("long").alias("bucket_ms"),
             F.coalesce(F.col("align_ms").cast("long"), F.lit(0).cast("long")).alias("align_ms"),
         )
@@ -37,7 +37,7 @@ def _periods(rows: DataFrame, rules: DataFrame) -> DataFrame:
     return joined.withColumn("period_start", floor_to(F.col("ts"), F.col("bucket_ms"), F.col("align_ms")))
 
 
-def _values(samples: DataFrame, rules: DataFrame, key: list[str]) -> DataFrame:
+def _values(samples: DataFrame, rules: DataFrame) -> DataFrame:
     """Bucket aggregates of the readings by each rule's own aggregator."""
     rows = readings(samples).drop("day")
     agg, v, ts = F.col("agg"), F.col("value"), F.col("ts")
@@ -46,7 +46,7 @@ def _values(samples: DataFrame, rules: DataFrame, key: list[str]) -> DataFrame:
         if name != "twa":
             value = F.when(agg == name, aggregate(name, v, ts)).otherwise(value)
     latest = F.max(F.struct("ts", "value"))["value"]
-    plain = _periods(rows, rules.where(agg != "twa")).groupBy(*key, "agg", "period_start").agg(
+    plain = _periods(rows, rules.where(agg != "twa")).groupBy("rule", "agg", "period_start").agg(
         F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), latest.alias("last_value"), value.alias("value")
     )
     # readings that share a time tag stand for their mean on the line of the time-weighted average
@@ -56,7 +56,7 @@ def _values(samples: DataFrame, rules: DataFrame, key: list[str]) -> DataFrame:
     rows = _periods(near, twa_rules)
     start, far = F.col("period_start"), F.lit(1 << 62)
     area, width = area_and_width(ts, v, start, start + F.col("bucket_ms"), -far, far)
-    twa = rows.withColumns({"_a": area, "_w": width}).groupBy(*key, "agg", "period_start").agg(
+    twa = rows.withColumns({"_a": area, "_w": width}).groupBy("rule", "agg", "period_start").agg(
         F.sum("k").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.max_by("top", "ts").alias("last_value"),
         F.when(F.sum("_w") > 0, F.sum("_a") / F.sum("_w")).otherwise(F.max_by("value", "ts")).alias("value"),
     )
@@ -79,40 +79,42 @@ def regular_grid(samples: DataFrame, rules: DataFrame, max_gap_ms: int = MAX_GAP
     are no readings. Of readings with equal time tags the greatest value is the last one.
     """
     rules = clean_rules(rules)
-    key = ["dest_key", "bucket_ms", "align_ms"]
     if not values:
         rules = rules.drop("agg").distinct()
-    else:
-        key = [*key, "agg"]
+    # rows between the steps carry a number for their rule in place of its names; it is fixed by the checkpoint
+    rules = checkpointed(rules.withColumn("rule", F.monotonically_increasing_id()))
+    numbered = rules.drop("dest_key")
     # 1. the first and last period of each rule, from the ends of its source
     ends = numbers(samples).groupBy("series_key").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
-    spans = ends.join(rules, "series_key").select(
-        *key,
+    spans = ends.join(numbered, "series_key").select(
+        "rule",
+        "bucket_ms",
         floor_to(F.col("lo"), F.col("bucket_ms"), F.col("align_ms")).alias("lo"),
         floor_to(F.col("hi"), F.col("bucket_ms"), F.col("align_ms")).alias("hi"),
     )
     # 2. the sequence of periods, in two steps so that no array grows with the span
     leap = F.col("bucket_ms") * STEP
-    steps = spans.select(*key, "hi", F.explode(F.sequence("lo", "hi", leap)).alias("at"))
-    periods = steps.select(*key, F.explode(F.sequence("at", F.least(F.col("hi"), F.col("at") + leap - F.col("bucket_ms")), F.col("bucket_ms"))).alias("period_start"))
-    # 3. bucket aggregates and the next reading after each bucket
+    steps = spans.select("rule", "bucket_ms", "hi", F.explode(F.sequence("lo", "hi", leap)).alias("at"))
+    periods = steps.select("rule", F.explode(F.sequence("at", F.least(F.col("hi"), F.col("at") + leap - F.col("bucket_ms")), F.col("bucket_ms"))).alias("period_start"))
+    # 3. bucket aggregates
     if values:
-        buckets = _values(samples, rules, [k for k in key if k != "agg"])
+        buckets = _values(samples, numbered).drop("agg")
     else:
-        buckets = _periods(numbers(samples).drop("value"), rules).groupBy(*key, "period_start").agg(
+        buckets = _periods(numbers(samples).drop("value"), numbered).groupBy("rule", "period_start").agg(
             F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
         )
     # 4. left join, then the last observation and its time carried forward, the next one carried back
-    joined = periods.join(buckets, [*key, "period_start"], "left")
-    w = Window.partitionBy(*key).orderBy("period_start")
+    joined = periods.join(buckets, ["rule", "period_start"], "left")
+    w = Window.partitionBy("rule").orderBy("period_start")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     # reversed order: "the next reading" is the last non-null one so far, a frame that costs one step a row
-    back = Window.partitionBy(*key).orderBy(F.desc("period_start")).rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy("rule").orderBy(F.desc("period_start")).rowsBetween(Window.unboundedPreceding, 0)
     read = F.col("n").isNotNull()
     seen = joined.withColumns({"_prev": F.last("last_ts", True).over(upto), **({"_carry": F.last("last_value", True).over(upto)} if values else {})})
     seen = seen.withColumn("_next", F.last("first_ts", True).over(back))
     gap = F.when(~read, F.col("_next") - F.col("_prev"))
     out = seen.withColumn("gap_ms", gap).withColumn("state", F.when(read, "read").when(F.col("gap_ms") <= max_gap_ms, "filled").otherwise("missing"))
+    out = sized_join(out, rules.select("rule", "dest_key", "bucket_ms", *(["agg"] if values else [])), ["rule"], salt_of=["period_start"])
     cols = ["dest_key", "bucket_ms", "period_start", "state", "gap_ms", F.coalesce("n", F.lit(0).cast("long")).alias("n")]
     if values:
         cols += ["agg", F.when(read, F.col("value")).when(F.col("state") == "filled", F.col("_carry")).alias("value")]
