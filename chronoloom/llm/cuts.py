@@ -210,8 +210,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rounds: int = 16, rate: floa
     rng = np.random.default_rng(7)
     for _ in range(rounds):
         order = rng.permutation(len(rows))
-        for lo in range(0, len(order), 256):
-            batch = order[lo : lo + 256]
+        for lo in range(0, len(order), 512):
+            batch = order[lo : lo + 512]
             n = starts[batch + 1] - starts[batch]
             at = np.repeat(starts[batch] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
             row, x = np.repeat(np.arange(len(batch)), n), ids[at]
@@ -223,18 +223,17 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rounds: int = 16, rate: floa
     return theta
 
 
-def train(rows: list[tuple[int, np.ndarray]], labels: np.ndarray, folds: int = 3) -> np.ndarray:
-    """Weights of the classifier from rows (a hash that splits them, features).
+def train(x: list[np.ndarray], split: np.ndarray, labels: np.ndarray, folds: int = 2) -> np.ndarray:
+    """Weights of the classifier from features, a hash that splits the rows, and labels.
 
     Some texts taken as they are (label 0) were cut in truth. Each fold is scored by a classifier that has not seen
-    it, those that look cut are left out, and the classifier is fitted on the rest.
+    it, those that surely look cut are left out, and the classifier is fitted on the rest.
     """
-    x = [r for _, r in rows]
-    fold = np.array([h % folds for h, _ in rows])
+    fold = split % folds
     keep = labels == 1
     for f in range(folds):
         seen = np.flatnonzero(fold != f)
-        theta = fit([x[i] for i in seen], labels[seen])
+        theta = fit([x[i] for i in seen], labels[seen], rounds=8)
         for i in np.flatnonzero((fold == f) & (labels == 0)):
             keep[i] = theta[x[i]].sum() < SURE
     kept = np.flatnonzero(keep)
@@ -244,6 +243,18 @@ def train(rows: list[tuple[int, np.ndarray]], labels: np.ndarray, folds: int = 3
 _COLUMNS = ["tail", "source", "declared", "n", "same", "near", "total", "lines", "bsame", "bnear"]
 
 
+def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows for the fit: doc_id, n, label, a hash of the closing characters, hashed features."""
+    for b in batches:
+        cols = [b.column(c).to_pylist() for c in _COLUMNS]
+        ids = [hashed(features(*r)) for r in zip(*cols)]
+        split = [zlib.crc32(t[-60:].encode("utf-8", "surrogatepass")) for t in cols[0]]
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+        flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n"), b.column("label"), pa.array(split, pa.int64()), lists], names=["doc_id", "n", "label", "split", "ids"])
+
+
 def _score(shipped):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         theta = shipped.value
@@ -272,18 +283,17 @@ def score_cuts(documents: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
     lines = checkpointed(lines)
     total = documents.count()
     share = min(1.0, train_docs / max(1, total))
-    picked = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1_000_000)) < int(share * 1_000_000)).limit(2 * train_docs)
+    picked = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1_000_000)) < int(share * 1_000_000))
     sample = picked.join(limits(dense), "source", "left").join(limits(bdense, "b"), "source", "left")
     sample = sample.withColumns({c: F.coalesce(c, F.array().cast("array<int>")) for c in ("limits", "blimits")})
-    made = [with_stats(artificial(sample), dense, bdense, lines, 0), with_stats(picked.drop("text"), dense, bdense, lines, 1).where(seems_intact())]
-    data, labels = [], []
-    for label, df in zip((1, 0), made):
-        got = df.select(*_COLUMNS).toArrow()
-        part = sorted(zip(*(got[c].to_pylist() for c in _COLUMNS)))
-        data += [(zlib.crc32(r[0][-60:].encode("utf-8", "surrogatepass")), hashed(features(*r))) for r in part]
-        labels += [label] * len(part)
-        del got, part
-    theta = train(data, np.array(labels)) if data else np.zeros(1 << BITS)
+    cut = with_stats(artificial(sample), dense, bdense, lines, 0).withColumn("label", F.lit(1))
+    whole = with_stats(picked.drop("text"), dense, bdense, lines, 1).where(seems_intact()).withColumn("label", F.lit(0))
+    got = cut.unionByName(whole).mapInArrow(_featurize, "doc_id long, n int, label int, split long, ids array<int>")
+    got = got.limit(2 * train_docs * (1 + CUTS)).toArrow()  # twice what the hash lets through on average
+    got = got.sort_by([(c, "ascending") for c in ("label", "doc_id", "n", "split")])
+    flat = got["ids"].combine_chunks()
+    x = np.split(flat.flatten().to_numpy(), flat.offsets.to_numpy()[1:-1] - flat.offsets[0].as_py()) if len(got) else []
+    theta = train(x, got["split"].to_numpy(), got["label"].to_numpy())
     scored = with_stats(short, dense, bdense, lines, 1)
     return scored.mapInArrow(_score(spark.sparkContext.broadcast(theta)), "doc_id long, source string, score double")
 
