@@ -138,7 +138,7 @@ def info(ts: TimeSeries, selected: DataFrame | None = None) -> DataFrame:
     last = rows.groupBy("series_key").agg(F.max("ts").alias("_last"))
     bounds = cat.select("series_key", "retention_ms").join(last, "series_key")
     bounds = bounds.select("series_key", F.when((F.col("retention_ms") > 0) & (F.col("_last") > F.col("retention_ms")), F.col("_last") - F.col("retention_ms")).otherwise(F.lit(0)).alias("_from"))
-    stats = sized_join(rows, bounds, ["series_key"]).groupBy("series_key").agg(
+    stats = sized_join(rows, bounds, ["series_key"], once=True).groupBy("series_key").agg(
         F.count_if(F.col("ts") >= F.col("_from")).alias("total_samples"), F.min(F.when(F.col("ts") >= F.col("_from"), F.col("ts"))).alias("first_timestamp"), F.max("ts").alias("last_timestamp")
     )
     out = cat.join(stats, "series_key", "left").withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("total_samples", "first_timestamp", "last_timestamp")})
@@ -152,7 +152,7 @@ def times_where(ts: TimeSeries, key: str, least: float, filters: Sequence[str])
     """Samples of the selected series at the times at which `key` exceeds `least` (a semi-join on ts)."""
     times = ts.samples.where((F.col("series_key") == key) & (F.col("value") > least) & ~F.isnan("value")).select("ts").distinct()
     rows = sized_join(ts.samples, select_series(ts.series, filters).select("series_key"), ["series_key"], "left_semi")
-    return sized_join(rows, times, ["ts"], "left_semi").select("series_key", "ts", "value")
+    return sized_join(rows, times, ["ts"], "left_semi", once=True).select("series_key", "ts", "value")
 
 
 def newest_rows(ts: TimeSeries, filters: Sequence[str], n: int) -> DataFrame:

@@ -40,7 +40,7 @@ def kept_rows(ts: TimeSeries, selected: DataFrame, spec: RangeSpec) -> DataFrame
     if aged is not None and not aged.isEmpty():
         last = sized_join(rows, aged.select("series_key"), ["series_key"], "left_semi").groupBy("series_key").agg(F.max("ts").alias("_last"))
         oldest = last.join(aged, "series_key").select("series_key", F.when(F.col("_last") > F.col("retention_ms"), F.col("_last") - F.col("retention_ms")).alias("_oldest"))
-        rows = sized_join(rows, oldest, ["series_key"], "left").where(F.col("_oldest").isNull() | (F.col("ts") >= F.col("_oldest")))
+        rows = sized_join(rows, oldest, ["series_key"], "left", once=True).where(F.col("_oldest").isNull() | (F.col("ts") >= F.col("_oldest")))
         lo = F.greatest(lo, F.col("_oldest"))
     rows = rows.withColumn("lo", lo)
     if not outside:

@@ -95,7 +95,7 @@ def _open_start(samples: DataFrame, rules: DataFrame) -> DataFrame:
 def closed_buckets(samples: DataFrame, rules: DataFrame) -> DataFrame:
     """What the rules have written: dest_key, ts, value of all buckets but the open one of each source."""
     key = ["dest_key", "bucket_ms", "align_ms"]
-    return sized_join(rule_buckets(samples, rules), _open_start(samples, rules), key).where(F.col("ts") < F.col("_open")).select("dest_key", "ts", "value")
+    return sized_join(rule_buckets(samples, rules), _open_start(samples, rules), key, once=True).where(F.col("ts") < F.col("_open")).select("dest_key", "ts", "value")
 
 
 def open_buckets(ts: TimeSeries, selected: DataFrame) -> DataFrame:
@@ -113,7 +113,7 @@ def open_buckets(ts: TimeSeries, selected: DataFrame) -> DataFrame:
     rules_of = clean_rules(rules)
     rows = sized_join(ts.samples.select("series_key", "ts", "value"), rules_of.select("series_key").distinct(), ["series_key"], "left_semi")
     key = ["dest_key", "bucket_ms", "align_ms"]
-    now = sized_join(rule_buckets(rows, rules), _open_start(rows, rules), key).where(F.col("ts") == F.col("_open"))
+    now = sized_join(rule_buckets(rows, rules), _open_start(rows, rules), key, once=True).where(F.col("ts") == F.col("_open"))
     have = ts.samples.groupBy(F.col("series_key").alias("dest_key")).agg(F.max("ts").alias("_have"))
     now = now.join(have, "dest_key", "left").where(F.col("_have").isNull() | (F.col("_have") < F.col("ts")))
     return now.select(F.col("dest_key").alias("series_key"), "ts", "value")

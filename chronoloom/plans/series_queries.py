@@ -208,7 +208,16 @@ _query("empty_avg", f"WITH {_S}, {_GAP} SELECT series_key, b AS ts, round(mean,
 _query("empty_last", f"WITH {_S}, {_GAP} SELECT series_key, b AS ts, round(coalesce(last_value(lastv IGNORE NULLS) OVER {_UP}, ov), 6) AS value FROM j")(
     _many(RangeSpec(LO, HI, buckets=Buckets(("last",), DAY, empty=True)))
 )
-_query("empty_twa")(_many(RangeSpec(LO, HI, buckets=Buckets(("twa",), DAY, empty=True))))
+_DOWN = "(PARTITION BY series_key ORDER BY b ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+_query(
+    "empty_twa",
+    f"""WITH {_S}, {_GAP}, {_TWA.format(lo=LO, hi=HI)},
+t AS (SELECT series_key, b, CASE WHEN sum(width) > 0 THEN sum(area) / sum(width) ELSE max_by(value, ts) END AS tw FROM a GROUP BY series_key, b),
+u AS (SELECT j.series_key, j.b, lt, tw, coalesce(last_value(lt IGNORE NULLS) OVER {_UP}, ot) AS t0, coalesce(last_value(lastv IGNORE NULLS) OVER {_UP}, ov) AS v0,
+  coalesce(first_value(ft IGNORE NULLS) OVER {_DOWN}, nt) AS t1, coalesce(first_value(fv IGNORE NULLS) OVER {_DOWN}, nv) AS v1 FROM j LEFT JOIN t ON t.series_key = j.series_key AND t.b = j.b)
+SELECT series_key, b AS ts, round(CASE WHEN lt IS NOT NULL THEN tw WHEN t0 IS NOT NULL AND t1 IS NOT NULL
+  THEN v0 + (v1 - v0) * (greatest(b, {LO}) - t0 + least(b + {DAY}, {HI}) - t0) / 2 / (t1 - t0) END, 3) AS value FROM u""".replace("(PARTITION BY series_key ORDER BY b", "(PARTITION BY j.series_key ORDER BY j.b"),
+)(_many(RangeSpec(LO, HI, buckets=Buckets(("twa",), DAY, empty=True)), digits=3))
 
 # --- limits, empty series
 _query(
@@ -310,7 +319,19 @@ _query("rule_closed_buckets", f"WITH {_M}, {_RULE} SELECT g.dest_key, g.b AS ts,
 _query("rule_latest", f"WITH {_M}, {_RULE} SELECT g.dest_key AS series_key, g.b AS ts, round(g.value, 3) AS value FROM g JOIN l USING (dest_key, bucket_ms, align_ms, agg) WHERE g.b = ob AND dest_key IN (SELECT series_key FROM series) AND dest_key NOT IN (SELECT series_key FROM m WHERE ts >= ob)")(
     lambda spark, d: _plain(_latest(spark, d), 3)
 )
-_query("rule_twa_buckets")(lambda spark, d: _plain(rules.closed_buckets(project.monitoring(spark, d).samples, table(spark, d, "rules").where(F.lower(F.trim("agg")) == "twa"))))
+_query(
+    "rule_twa_buckets",
+    f"""WITH {_M}, r AS (SELECT DISTINCT source_key AS series_key, dest_key, bucket_ms, coalesce(CAST(align_ms AS BIGINT), 0) AS align_ms FROM rules WHERE lower(trim(agg)) = 'twa'),
+n AS (SELECT *, lag(ts) OVER w AS pt, lag(value) OVER w AS pv, lead(ts) OVER w AS nt, lead(value) OVER w AS nv FROM m WHERE NOT isnan(value) WINDOW w AS (PARTITION BY series_key ORDER BY ts)),
+j AS (SELECT r.dest_key, bucket_ms AS d, align_ms, n.*, ts - ((ts - align_ms) % bucket_ms + bucket_ms) % bucket_ms AS b FROM n JOIN r USING (series_key)),
+l AS (SELECT dest_key, bucket_ms AS d, align_ms, max(ts - ((ts - align_ms) % bucket_ms + bucket_ms) % bucket_ms) AS ob FROM m JOIN r USING (series_key) GROUP BY ALL),
+a AS (SELECT dest_key, d, align_ms, b, ts, value,
+ CASE WHEN pt IS NULL THEN 0 WHEN pt >= b THEN (pv + value) / 2 * (ts - pt) ELSE (pv + (value - pv) * (b - pt) / (ts - pt) + value) / 2 * (ts - b) END
+ + CASE WHEN nt >= b + d THEN (value + value + (nv - value) * (b + d - ts) / (nt - ts)) / 2 * (b + d - ts) ELSE 0 END AS area,
+ CASE WHEN pt IS NULL THEN 0 ELSE ts - greatest(pt, b) END + CASE WHEN nt >= b + d THEN b + d - ts ELSE 0 END AS width FROM j)
+SELECT dest_key, b AS ts, round(CASE WHEN sum(width) > 0 THEN sum(area) / sum(width) ELSE max_by(value, ts) END, 3) AS value
+FROM a JOIN l USING (dest_key, d, align_ms) WHERE b < ob GROUP BY dest_key, d, align_ms, b""",
+)(lambda spark, d: _plain(rules.closed_buckets(project.monitoring(spark, d).samples, table(spark, d, "rules").where(F.lower(F.trim("agg")) == "twa")), 3))
 
 
 def _latest(spark: SparkSession, d: str) -> DataFrame:

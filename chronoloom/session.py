@@ -87,13 +87,17 @@ def sized_join(
     nbytes: int = BROADCAST_BYTES,
     salts: int = SALTS,
     salt_of: list[str] | None = None,
+    once: bool = False,
 ) -> DataFrame:
     """Join of a large skewed side with a small one (`how`: inner, left or left_semi).
 
     The small side is broadcast only after its size was checked. Beyond the bound the large side is split by a
     salt (a hash of `salt_of`, by default of all other columns) and the small side is repeated once per salt, so a
-    key that holds a third of all rows is spread over `salts` tasks.
+    key that holds a third of all rows is spread over `salts` tasks. With `once` the small side is checkpointed first:
+    for sides that take a pass over large tables, which the check of their size would repeat.
     """
+    if once:
+        small = checkpointed(small)
     if is_bounded(small, rows, nbytes):
         return big.join(F.broadcast(small), on, how)
     names = salt_of or [c for c in big.columns if c not in on] or on
