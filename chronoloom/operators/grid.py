@@ -17,8 +17,8 @@ STEP = 4096
 MAX_GAP_MS = 259_200_000
 
 
-def clean_rules(rules: DataFrame) -> DataFrame:
-    """Distinct rules with a source, a destination and a positive bucket; agg in lower case, align 0 for null."""
+def clean_rules(rules: DataFrame, *more: str) -> DataFrame:
+    """Distinct rules with a source, a destination and a positive bucket; agg in lower case, align 0 for null; columns `more` where there are."""
     return (
         rules.where(F.col("source_key").isNotNull() & F.col("dest_key").isNotNull() & (F.col("bucket_ms") > 0))
         .select(
@@ -27,6 +27,7 @@ def clean_rules(rules: DataFrame) -> DataFrame:
             F.coalesce(F.lower(F.trim("agg")), F.lit("")).alias("agg"),
             F.col("bucket_ms").cast("long").alias("bucket_ms"),
             F.coalesce(F.col("align_ms").cast("long"), F.lit(0).cast("long")).alias("align_ms"),
+            *[F.col(c) for c in more if c in rules.columns],
         )
         .distinct()
     )

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.functions.aggregates import NAMES, aggregate, number, parse_names
-from chronoloom.model import TimeSeries, catalog
+from chronoloom.functions.policies import parse_policies
+from chronoloom.model import TimeSeries, catalog, create
 from chronoloom.operators.grid import clean_rules
 from chronoloom.operators.neighbours import with_neighbours
 from chronoloom.operators.readings import floor_to
@@ -18,8 +19,11 @@ from chronoloom.session import sized_join
 RULES = "source_key string, dest_key string, agg string, bucket_ms long, align_ms long"
 
 
-def create_rule(ts: TimeSeries, source: str, dest: str, agg: str, bucket_ms: int, align_ms: int = 0) -> TimeSeries:
-    """Adds a rule; chains, second destinations and rules of a series onto itself are errors."""
+def create_rule(ts: TimeSeries, source: str, dest: str, agg: str, bucket_ms: int, align_ms: int = 0, only_new: bool = False) -> TimeSeries:
+    """Adds a rule; chains, second destinations and rules of a series onto itself are errors.
+
+    With `only_new` the samples that the source has by now are left out (column since_ms of the rules).
+    """
     names = parse_names(agg)
     if len(names) != 1:
         raise ValueError("a rule has exactly one aggregator")
@@ -37,9 +41,10 @@ def create_rule(ts: TimeSeries, source: str, dest: str, agg: str, bucket_ms: int
         raise ValueError(f"{source!r} is a destination itself")
     if not rules.where((F.col("source_key") == dest) | (F.col("dest_key") == dest)).isEmpty():
         raise ValueError(f"{dest!r} has a rule already")
-    row = spark.createDataFrame([(source, dest, names[0], bucket_ms, align_ms)], RULES)
+    since = ts.samples.where(F.col("series_key") == source).agg(F.max("ts")).first()[0] if only_new else None
+    row = spark.createDataFrame([(source, dest, names[0], bucket_ms, align_ms, since)], RULES + ", since_ms long")
     series = catalog(ts.series).withColumn("source_key", F.when(F.col("series_key") == dest, F.lit(source)).otherwise(F.col("source_key")))
-    return replace(ts, rules=rules.select("source_key", "dest_key", "agg", "bucket_ms", "align_ms").unionByName(row), series=series)
+    return replace(ts, rules=rules.unionByName(row, allowMissingColumns=True), series=series)
 
 
 def delete_rule(ts: TimeSeries, source: str, dest: str) -> TimeSeries:
@@ -64,11 +69,12 @@ def rule_buckets(samples: DataFrame, rules: DataFrame) -> DataFrame:
 
     Buckets in which the rule's aggregator accepted nothing are left out. Samples are unique by (series_key, ts).
     """
-    rules = clean_rules(rules)
+    rules = clean_rules(rules, "since_ms")
+    new = F.col("since_ms").isNull() | (F.col("ts") > F.col("since_ms")) if "since_ms" in rules.columns else F.lit(True)
     key = ["series_key", "dest_key", "bucket_ms", "align_ms"]
     v, t, agg = F.col("value"), F.col("ts"), F.col("agg")
     b = floor_to(t, F.col("bucket_ms"), F.col("align_ms"))
-    rows = sized_join(samples.select("series_key", "ts", "value"), rules.where(agg != "twa"), ["series_key"], salt_of=["ts"]).withColumn("_b", b)
+    rows = sized_join(samples.select("series_key", "ts", "value"), rules.where(agg != "twa"), ["series_key"], salt_of=["ts"]).where(new).withColumn("_b", b)
     ok = F.when(agg == "countall", F.count(v)).when(agg == "countnan", F.count_if(F.isnan(v))).otherwise(F.count(number(v)))
     plain = rows.groupBy(*key, "agg", "_b").agg(_by_name(agg, v, t).alias("value"), ok.alias("_ok")).where("_ok > 0")
     out = plain.select(*key, "_b", "value")
@@ -76,7 +82,7 @@ def rule_buckets(samples: DataFrame, rules: DataFrame) -> DataFrame:
     if not twa.isEmpty():
         numbers = samples.select("series_key", "ts", "value").where(~F.isnan("value"))
         near = with_neighbours(sized_join(numbers, twa.select("series_key").distinct(), ["series_key"], "left_semi"), ["series_key"])
-        rows = sized_join(near, twa, ["series_key"], salt_of=["ts"]).withColumn("_b", b)
+        rows = sized_join(near, twa, ["series_key"], salt_of=["ts"]).where(new).withColumn("_b", b)
         area, width = area_and_width(t, v, F.col("_b"), F.col("_b") + F.col("bucket_ms"), F.lit(-(1 << 62)), F.lit(1 << 62))
         sums = rows.withColumns({"_a": area, "_w": width}).groupBy(*key, "_b").agg(
             F.when(F.sum("_w") > 0, F.sum("_a") / F.sum("_w")).otherwise(F.max_by(v, t)).alias("value")
@@ -133,8 +139,8 @@ def refresh(dest: DataFrame, samples: DataFrame, rules: DataFrame, changes: Data
     open bucket is not written.
     """
     touched = touched_buckets(changes, rules)
-    hit = clean_rules(rules).join(changes.select("series_key").distinct(), "series_key", "left_semi")
-    again = hit.select(F.col("series_key").alias("source_key"), "dest_key", "agg", "bucket_ms", "align_ms")
+    hit = clean_rules(rules, "since_ms").join(changes.select("series_key").distinct(), "series_key", "left_semi")
+    again = hit.withColumnRenamed("series_key", "source_key")
     source = sized_join(samples, hit.select("series_key").distinct(), ["series_key"], "left_semi")
     have = dest.groupBy(F.col("series_key").alias("dest_key")).agg(F.max("ts").alias("_have"))
     hits = touched.select("dest_key", "ts", F.lit(True).alias("_hit")).distinct()
@@ -142,3 +148,15 @@ def refresh(dest: DataFrame, samples: DataFrame, rules: DataFrame, changes: Data
     new = new.where(F.col("_hit") | F.col("_have").isNull() | (F.col("ts") > F.col("_have"))).select("dest_key", "ts", "value")
     gone = touched.select(F.col("dest_key").alias("series_key"), "ts").distinct()
     return dest.join(gone, ["series_key", "ts"], "left_anti").select("series_key", "ts", "value").unionByName(new.withColumnRenamed("dest_key", "series_key"))
+
+
+def apply_policies(ts: TimeSeries, key: str, text: str) -> TimeSeries:
+    """Creates the destinations and rules that a string of default policies asks for on a series."""
+    row = catalog(ts.series).where(F.col("series_key") == key).first()
+    if row is None:
+        raise ValueError(f"there is no series {key!r}")
+    for p in parse_policies(text):
+        dest = p.dest_key(key)
+        ts = create(ts, dest, labels=p.labels(row.labels or {}), retention_ms=p.retention_ms)
+        ts = create_rule(ts, key, dest, p.agg, p.bucket_ms, p.align_ms, only_new=True)
+    return ts
