@@ -27,7 +27,7 @@ ORACLES: dict[str, str] = {}
 _S = """s AS (SELECT 'events:' || event_type || ':' || CAST(user_id AS VARCHAR) AS series_key, event_type, CAST(user_id AS VARCHAR) AS user_id,
 epoch_us(ts) // 1000 AS ts, value FROM events)"""
 #: Moves values that lie between two roundings off the edge, on both sides of a comparison.
-_NUDGE = 0.0000000123
+_NUDGE, _PUSH = 0.0000000123, 0.0000123
 _M = "m AS (SELECT series_key, ts, max(value) AS value FROM samples GROUP BY ALL)"
 
 
@@ -42,8 +42,9 @@ def _query(name: str, oracle: str | None = None):
 
 
 def _plain(df: DataFrame, digits: int = 6) -> DataFrame:
-    """NaN as null and doubles rounded, for a comparison by value."""
-    return df.select(*[F.when(~F.isnan(c), F.round(c, digits)).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+    """NaN as null and doubles rounded, for a comparison by value; to three digits after a push off the edges."""
+    push = _PUSH if digits == 3 else 0.0
+    return df.select(*[F.when(~F.isnan(c), F.round(F.col(c) + push, digits)).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
 
 
 def _floor(t: str, w: int, a: int = 0) -> str:
@@ -170,7 +171,7 @@ a AS (SELECT series_key, b, ts, value,
  CASE WHEN pt IS NULL THEN 0 ELSE ts - greatest(pt, ta) END + CASE WHEN nt IS NOT NULL AND (nt >= b + {DAY} OR nt > {{hi}}) THEN tb - ts ELSE 0 END AS width FROM k)"""
 _query(
     "bucket_twa",
-    f"WITH {_S}, {_TWA.format(lo=LO, hi=HI)} SELECT series_key, b AS ts, round(CASE WHEN sum(width) > 0 THEN sum(area) / sum(width) ELSE max_by(value, ts) END, 3) AS value FROM a GROUP BY series_key, b",
+    f"WITH {_S}, {_TWA.format(lo=LO, hi=HI)} SELECT series_key, b AS ts, round(CASE WHEN sum(width) > 0 THEN sum(area) / sum(width) ELSE max_by(value, ts) END + {_PUSH}, 3) AS value FROM a GROUP BY series_key, b",
 )(_many(RangeSpec(LO, HI, buckets=Buckets(("twa",), DAY)), digits=3))
 _query("bucket_align_start", f"WITH {_S} SELECT series_key, {_floor('ts', 7 * DAY, LO + 12345)} AS ts, round(sum(value), 6) AS value FROM s WHERE ts BETWEEN {LO + 12345} AND {HI} GROUP BY ALL")(
     _many(RangeSpec(LO + 12345, HI, buckets=Buckets(("sum",), 7 * DAY, "start")))
@@ -216,7 +217,7 @@ t AS (SELECT series_key, b, CASE WHEN sum(width) > 0 THEN sum(area) / sum(width)
 u AS (SELECT j.series_key, j.b, lt, tw, coalesce(last_value(lt IGNORE NULLS) OVER {_UP}, ot) AS t0, coalesce(last_value(lastv IGNORE NULLS) OVER {_UP}, ov) AS v0,
   coalesce(first_value(ft IGNORE NULLS) OVER {_DOWN}, nt) AS t1, coalesce(first_value(fv IGNORE NULLS) OVER {_DOWN}, nv) AS v1 FROM j LEFT JOIN t ON t.series_key = j.series_key AND t.b = j.b)
 SELECT series_key, b AS ts, round(CASE WHEN lt IS NOT NULL THEN tw WHEN t0 IS NOT NULL AND t1 IS NOT NULL
-  THEN v0 + (v1 - v0) * (greatest(b, {LO}) - t0 + least(b + {DAY}, {HI}) - t0) / 2 / (t1 - t0) END, 3) AS value FROM u""".replace("(PARTITION BY series_key ORDER BY b", "(PARTITION BY j.series_key ORDER BY j.b"),
+  THEN v0 + (v1 - v0) * (greatest(b, {LO}) - t0 + least(b + {DAY}, {HI}) - t0) / 2 / (t1 - t0) END + {_PUSH}, 3) AS value FROM u""".replace("(PARTITION BY series_key ORDER BY b", "(PARTITION BY j.series_key ORDER BY j.b"),
 )(_many(RangeSpec(LO, HI, buckets=Buckets(("twa",), DAY, empty=True)), digits=3))
 
 # --- limits, empty series
@@ -313,10 +314,10 @@ l AS (SELECT dest_key, bucket_ms, align_ms, agg, max(b) AS ob FROM j GROUP BY AL
 g AS (SELECT dest_key, bucket_ms, align_ms, agg, b, CASE agg WHEN 'min' THEN min(v) WHEN 'max' THEN max(v) WHEN 'sum' THEN sum(v) WHEN 'avg' THEN avg(v) WHEN 'count' THEN CAST(count(v) AS DOUBLE)
   WHEN 'range' THEN max(v) - min(v) WHEN 'std.p' THEN stddev_pop(v) WHEN 'last' THEN max_by(v, ts) FILTER (v IS NOT NULL) WHEN 'first' THEN min_by(v, ts) FILTER (v IS NOT NULL) WHEN 'var.p' THEN var_pop(v) END AS value
   FROM (SELECT *, CASE WHEN NOT isnan(value) THEN value END AS v FROM j) GROUP BY dest_key, bucket_ms, align_ms, agg, b HAVING count(v) > 0)"""
-_query("rule_closed_buckets", f"WITH {_M}, {_RULE} SELECT g.dest_key, g.b AS ts, round(g.value, 3) AS value FROM g JOIN l USING (dest_key, bucket_ms, align_ms, agg) WHERE g.b < ob")(
+_query("rule_closed_buckets", f"WITH {_M}, {_RULE} SELECT g.dest_key, g.b AS ts, round(g.value + {_PUSH}, 3) AS value FROM g JOIN l USING (dest_key, bucket_ms, align_ms, agg) WHERE g.b < ob")(
     lambda spark, d: _plain(rules.closed_buckets(project.monitoring(spark, d).samples, table(spark, d, "rules").where(F.lower(F.trim("agg")) != "twa")), 3)
 )
-_query("rule_latest", f"WITH {_M}, {_RULE} SELECT g.dest_key AS series_key, g.b AS ts, round(g.value, 3) AS value FROM g JOIN l USING (dest_key, bucket_ms, align_ms, agg) WHERE g.b = ob AND dest_key IN (SELECT series_key FROM series) AND dest_key NOT IN (SELECT series_key FROM m WHERE ts >= ob)")(
+_query("rule_latest", f"WITH {_M}, {_RULE} SELECT g.dest_key AS series_key, g.b AS ts, round(g.value + {_PUSH}, 3) AS value FROM g JOIN l USING (dest_key, bucket_ms, align_ms, agg) WHERE g.b = ob AND dest_key IN (SELECT series_key FROM series) AND dest_key NOT IN (SELECT series_key FROM m WHERE ts >= ob)")(
     lambda spark, d: _plain(_latest(spark, d), 3)
 )
 _query(
@@ -329,7 +330,7 @@ a AS (SELECT dest_key, d, align_ms, b, ts, value,
  CASE WHEN pt IS NULL THEN 0 WHEN pt >= b THEN (pv + value) / 2 * (ts - pt) ELSE (pv + (value - pv) * (b - pt) / (ts - pt) + value) / 2 * (ts - b) END
  + CASE WHEN nt >= b + d THEN (value + value + (nv - value) * (b + d - ts) / (nt - ts)) / 2 * (b + d - ts) ELSE 0 END AS area,
  CASE WHEN pt IS NULL THEN 0 ELSE ts - greatest(pt, b) END + CASE WHEN nt >= b + d THEN b + d - ts ELSE 0 END AS width FROM j)
-SELECT dest_key, b AS ts, round(CASE WHEN sum(width) > 0 THEN sum(area) / sum(width) ELSE max_by(value, ts) END, 3) AS value
+SELECT dest_key, b AS ts, round(CASE WHEN sum(width) > 0 THEN sum(area) / sum(width) ELSE max_by(value, ts) END + {_PUSH}, 3) AS value
 FROM a JOIN l USING (dest_key, d, align_ms) WHERE b < ob GROUP BY dest_key, d, align_ms, b""",
 )(lambda spark, d: _plain(rules.closed_buckets(project.monitoring(spark, d).samples, table(spark, d, "rules").where(F.lower(F.trim("agg")) == "twa")), 3))
 
