@@ -239,10 +239,12 @@ def label_sketches(readings: DataFrame, labels: DataFrame, k: int = K, high: boo
     """Sketches of the readings (series_key, value) of each label value (series_key, label_value).
 
     Readings become partial sketches by series before they meet the labels, so a label value that covers a third of
-    all rows costs a few sketches per series, and no reading is copied once per label.
+    all rows costs a few sketches per series, and no reading is copied once per label. What a partition holds of a label
+    value is merged before the shuffle, so one that covers most series costs one sketch per partition.
     """
     from chronoloom.session import sized_join
 
     parts = sketch_partitions(readings, "series_key", "value", k, high).withColumnRenamed("key", "series_key")
     pairs = labels.select("series_key", F.col("label_value").alias("key")).where(F.col("key").isNotNull() & F.col("series_key").isNotNull()).distinct()
-    return merge_sketches(sized_join(parts, pairs, ["series_key"]), k, high)
+    own = sized_join(parts, pairs, ["series_key"]).select("key", "sketch").sortWithinPartitions("key").mapInArrow(_fold(k, high, True), f"key string, {SKETCH}")
+    return merge_sketches(own, k, high)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoloom.llm import bpe, cuts, leaks, quantiles
+from chronoloom.operators.hotkeys import label_pairs
 from chronoloom.operators.readings import readings
 from chronoloom.plans.tables import table
 from chronoloom.session import sized_join
@@ -26,10 +27,9 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles of the readings of every value of the labels hostname and region, by label."""
-    labels = table(spark, d, "series_labels")
-    keyed = labels.where(F.col("label_key").isin("hostname", "region") & (F.col("label_value") != ""))
-    keyed = keyed.select("series_key", F.to_json(F.struct("label_key", "label_value")).alias("label_value")).distinct()
+    """Percentiles of the readings of every value of every label; null and empty keys or values are no labels."""
+    keyed = label_pairs(table(spark, d, "series_labels"))
+    keyed = keyed.select("series_key", F.to_json(F.struct("label_key", "label_value")).alias("label_value"))
     q = quantiles.read_quantiles(quantiles.label_sketches(readings(table(spark, d, "samples")), keyed), [0.5, 0.9, 0.95, 0.99])
     name = F.from_json("key", "label_key string, label_value string")
     return q.select(name["label_key"].alias("label_key"), name["label_value"].alias("label_value"), "n", *[F.col("q")[i].alias(c) for i, c in enumerate(("p50", "p90", "p95", "p99"))])

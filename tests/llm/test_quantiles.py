@@ -80,3 +80,19 @@ def test_days_combine(spark):
     x = np.sort(np.concatenate([[r.value for r in d.collect()] for d in days]))
     (r,) = quantiles.read_quantiles(both, [0.5, 0.9]).collect()
     assert r.n == 4500 and all(abs(np.searchsorted(x, v) / 4500 - q) < 0.01 for v, q in zip(r.q, (0.5, 0.9)))
+
+
+def test_percentiles_of_every_label(spark, data):
+    from chronoloom.llm.queries import p5_percentiles
+
+    labels = spark.read.parquet(f"{data}/series_labels.parquet").where("label_key <> '' AND label_value <> ''").distinct()
+    rows = spark.read.parquet(f"{data}/samples.parquet").where("NOT isnan(value)").select("series_key", "ts", "value").distinct()
+    exact = {(r.label_key, r.label_value): np.sort(r.v) for r in rows.join(labels, "series_key").groupBy("label_key", "label_value").agg(F.collect_list("value").alias("v")).collect()}
+    got = p5_percentiles(spark, data).collect()
+    assert {(r.label_key, r.label_value): r.n for r in got} == {k: len(v) for k, v in exact.items()} and len(got) == len(exact)
+    assert {"os", "unit", "tier", "agent", "hostname", "region"} <= {r.label_key for r in got}
+    for r in got:
+        x = exact[r.label_key, r.label_value]
+        for q, v in ((0.5, r.p50), (0.9, r.p90), (0.95, r.p95), (0.99, r.p99)):
+            lo, hi = np.searchsorted(x, v, "left") / len(x), np.searchsorted(x, v, "right") / len(x)
+            assert lo - q <= 0.01 and q - hi <= 0.01, (r.label_key, r.label_value, q)
