@@ -15,17 +15,19 @@ def tail(stream: DataFrame, key: str, cursor: int = 0) -> DataFrame:
 
 
 def read_blocking(stream: DataFrame, key: str, cursor: int = 0, least: int = 1, most: int | None = None, timeout_ms: int = 0, checkpoint: str | None = None) -> list[tuple[int, float]]:
-    """Waits for `least` samples, at most `timeout_ms` (0: forever), and returns up to `most` of them in order of time.
+    """Waits for `least` samples, at most `timeout_ms` (0: forever), and returns all that came, in order of time.
 
-    No trigger hands more than `most` rows to the driver (`least` if `most` isn't given): the answer is what one reader asked for.
+    `most` is the only cap: with it, no trigger hands more than `most` rows to the driver and the first `most` are
+    returned. Without it the answer has every sample of the triggers read, as a list on the driver; `multi.tail_read`
+    gives stored samples as a DataFrame. A trigger that a `checkpoint` has as done doesn't come again by it, nor does what
+    `most` left of it. If the stream fails before there are enough, its error is raised.
     """
-    most = most or max(least, 1000)
     got: dict[int, float] = {}
     enough = threading.Event()
 
     def take(batch: DataFrame, _: int) -> None:
-        for r in batch.orderBy("ts").limit(most).collect():
-            got[r.ts] = r.value
+        rows = batch.orderBy("ts").limit(most).collect() if most else batch.orderBy("ts").toLocalIterator()
+        got.update({r.ts: r.value for r in rows})
         if len(got) >= least:
             enough.set()
 
@@ -35,6 +37,8 @@ def read_blocking(stream: DataFrame, key: str, cursor: int = 0, least: int = 1,
         end = time.time() + timeout_ms / 1000 if timeout_ms else None
         while not enough.wait(0.1) and query.isActive and (end is None or time.time() < end):
             pass
+        if not enough.is_set() and (failed := query.exception()):
+            raise failed
     finally:
         query.stop()
-    return sorted(got.items())[:most]
+    return sorted(list(got.items()))[:most]

@@ -57,6 +57,20 @@ def test_blocking_read(spark, tmp_path):
     assert tail.read_blocking(stream, "s", 100, timeout_ms=1500) == []
 
 
+def test_blocking_read_has_no_cap_of_its_own(spark, tmp_path):
+    stream = feed(spark, tmp_path, [[("s", t, float(t), t) for t in range(2500)]])
+    got = tail.read_blocking(stream, "s", 100, timeout_ms=60_000, checkpoint=f"{tmp_path}/cp")
+    assert got == [(t, float(t)) for t in range(100, 2500)]
+    assert [t for t, _ in tail.read_blocking(stream, "s", 100, most=7, timeout_ms=60_000)] == list(range(100, 107))
+
+
+def test_blocking_read_tells_of_failure(spark, tmp_path):
+    stream = feed(spark, tmp_path, [[("s", t, float(t), t) for t in range(5)]])
+    broken = stream.withColumn("value", F.raise_error(F.lit("unreadable")).cast("double"))
+    with pytest.raises(Exception, match="unreadable"):
+        tail.read_blocking(broken, "s", timeout_ms=60_000)
+
+
 def test_refresh_by_batches(spark, tmp_path):
     first = [("s", t, float(t), t) for t in range(0, 50, 5)]
     more = [("s", 12, 7.0, 100), ("s", 61, 1.0, 101)]
