@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoloom.functions.aggregates import column_name
@@ -318,27 +318,33 @@ _query("rule_closed_buckets", f"WITH {_M}, {_RULE} SELECT g.dest_key, g.b AS ts,
     lambda spark, d: _plain(rules.closed_buckets(project.monitoring(spark, d).samples, table(spark, d, "rules").where(F.lower(F.trim("agg")) != "twa")), 3)
 )
 _query("rule_latest", f"WITH {_M}, {_RULE} SELECT g.dest_key AS series_key, g.b AS ts, round(g.value + {_PUSH}, 3) AS value FROM g JOIN l USING (dest_key, bucket_ms, align_ms, agg) WHERE g.b = ob AND dest_key IN (SELECT series_key FROM series) AND dest_key NOT IN (SELECT series_key FROM m WHERE ts >= ob)")(
-    lambda spark, d: _plain(_latest(spark, d), 3)
+    lambda spark, d: _plain(_latest(spark, d, F.lower(F.trim("agg")) != "twa"), 3)
 )
-_query(
-    "rule_twa_buckets",
-    f"""WITH {_M}, r AS (SELECT DISTINCT source_key AS series_key, dest_key, bucket_ms, coalesce(CAST(align_ms AS BIGINT), 0) AS align_ms FROM rules WHERE lower(trim(agg)) = 'twa'),
+_TWA = f"""WITH {_M}, r AS (SELECT DISTINCT source_key AS series_key, dest_key, bucket_ms, coalesce(CAST(align_ms AS BIGINT), 0) AS align_ms FROM rules WHERE lower(trim(agg)) = 'twa'),
 n AS (SELECT *, lag(ts) OVER w AS pt, lag(value) OVER w AS pv, lead(ts) OVER w AS nt, lead(value) OVER w AS nv FROM m WHERE NOT isnan(value) WINDOW w AS (PARTITION BY series_key ORDER BY ts)),
 j AS (SELECT r.dest_key, bucket_ms AS d, align_ms, n.*, ts - ((ts - align_ms) % bucket_ms + bucket_ms) % bucket_ms AS b FROM n JOIN r USING (series_key)),
 l AS (SELECT dest_key, bucket_ms AS d, align_ms, max(ts - ((ts - align_ms) % bucket_ms + bucket_ms) % bucket_ms) AS ob FROM m JOIN r USING (series_key) GROUP BY ALL),
 a AS (SELECT dest_key, d, align_ms, b, ts, value,
  CASE WHEN pt IS NULL THEN 0 WHEN pt >= b THEN (pv + value) / 2 * (ts - pt) ELSE (pv + (value - pv) * (b - pt) / (ts - pt) + value) / 2 * (ts - b) END
  + CASE WHEN nt >= b + d THEN (value + value + (nv - value) * (b + d - ts) / (nt - ts)) / 2 * (b + d - ts) ELSE 0 END AS area,
- CASE WHEN pt IS NULL THEN 0 ELSE ts - greatest(pt, b) END + CASE WHEN nt >= b + d THEN b + d - ts ELSE 0 END AS width FROM j)
+ CASE WHEN pt IS NULL THEN 0 ELSE ts - greatest(pt, b) END + CASE WHEN nt >= b + d THEN b + d - ts ELSE 0 END AS width FROM j)"""
+_query(
+    "rule_twa_buckets",
+    f"""{_TWA}
 SELECT dest_key, b AS ts, round(CASE WHEN sum(width) > 0 THEN sum(area) / sum(width) ELSE max_by(value, ts) END + {_PUSH}, 3) AS value
 FROM a JOIN l USING (dest_key, d, align_ms) WHERE b < ob GROUP BY dest_key, d, align_ms, b""",
 )(lambda spark, d: _plain(rules.closed_buckets(project.monitoring(spark, d).samples, table(spark, d, "rules").where(F.lower(F.trim("agg")) == "twa")), 3))
+_query(
+    "rule_latest_twa",
+    f"""{_TWA}
+SELECT dest_key AS series_key, b AS ts, round(CASE WHEN sum(width) > 0 THEN sum(area) / sum(width) ELSE max_by(value, ts) END + {_PUSH}, 3) AS value
+FROM a JOIN l USING (dest_key, d, align_ms) WHERE b = ob AND dest_key IN (SELECT series_key FROM series) AND dest_key NOT IN (SELECT series_key FROM m WHERE m.ts >= ob) GROUP BY dest_key, d, align_ms, b""",
+)(lambda spark, d: _plain(_latest(spark, d, F.lower(F.trim("agg")) == "twa"), 3))
 
 
-def _latest(spark: SparkSession, d: str) -> DataFrame:
+def _latest(spark: SparkSession, d: str, which: Column) -> DataFrame:
     ts = project.monitoring(spark, d)
-    plain = ts.rules.where(F.lower(F.trim("agg")) != "twa")
-    return rules.open_buckets(type(ts)(ts.samples, ts.series, plain), ts.series)
+    return rules.open_buckets(type(ts)(ts.samples, ts.series, ts.rules.where(which)), ts.series)
 
 
 @_query("rule_refresh")

@@ -121,6 +121,17 @@ def test_rule_equals_range(spark, make, agg):
     assert got == pytest.approx(want)
 
 
+def test_queries_of_open_buckets_leave_no_rule_out(spark):
+    from chronoloom.plans.series_queries import QUERIES, _plain
+    from chronoloom.sources import project
+
+    folder = "/root/testdata/sf0.01"
+    ts = project.monitoring(spark, folder)
+    want = sorted(map(repr, _plain(rules.open_buckets(ts, ts.series), 3).collect()))
+    got = [QUERIES[q](spark, folder).collect() for q in ("rule_latest", "rule_latest_twa")]
+    assert sorted(map(repr, got[0] + got[1])) == want and all(got)
+
+
 def test_refresh_after_late_rows_and_deletes(spark, make):
     first = make({"s": ({}, [(t, t) for t in range(0, 50, 5)])}).samples
     r = rule_frame(spark, ("s", "d", "sum", 10, 0), ("s", "e", "max", 20, 0))
