@@ -4,8 +4,9 @@ SimHash of windows, multi-index Hamming blocks, exact check. Items and texts are
 window's fingerprint takes, bit by bit, the majority of its words' hashes. An item leaks in parts, so the windows
 are sized to the smallest part that must be found (a run of WINDOW clean words), not to the whole item, whose
 fingerprint says nothing about a third of it. Fingerprints are indexed by RADIUS + 1 blocks of bits: two that differ
-in at most RADIUS bits agree in one block, so every window within the radius is found. Candidates are then aligned
-word by word from the matching windows, over slips in single words, and the share of the item's own words (weight 0
+in at most RADIUS bits agree in one block, so every window within the radius is found. Beside them, runs of SEED equal
+words are looked up, so that stretches whose slips leave no clean window have a candidate too. Candidates are then aligned
+word by word from the matching windows and runs, over slips in single words, and the share of the item's own words (weight 0
 for wording that many items share) in stretches of STRETCH or more decides.
 
 The items are a stated query set, broadcast in blocks of a fixed number; each text is read once per block where it
@@ -18,7 +19,7 @@ import html
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from chronoloom.llm.arrow import bound_batches
 
 WINDOW = 5
+#: Equal words in a row that make a candidate: one slip in a stretch of 8 leaves four, slips in every fourth word three.
+SEED = 3
 RADIUS = 3
 STRETCH = 8
 SHARE = 1 / 3
@@ -80,6 +83,16 @@ def fingerprints(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return np.packbits(total > window // 2, axis=1).view(np.uint64).ravel()
 
 
+def seeds(hashes: np.ndarray) -> np.ndarray:
+    """A hash of every SEED words in a row."""
+    n = max(0, len(hashes) - SEED + 1)
+    out = np.zeros(n, np.uint64)
+    for i in range(SEED):
+        out = (out ^ hashes[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
 def shared_shingles(passages: list[list[str]], share: float = SHARED, many: int = MANY) -> set[tuple[str, ...]]:
     """Shingles that stand in so many items that they are wording of the suite, not of an item."""
     found = Counter()
@@ -99,13 +112,18 @@ class ItemIndex:
         self.own: list[np.ndarray] = []
         known: dict[str, int] = {}
         prints, item_of, at = [], [], []
+        runs: list[tuple[np.ndarray, int, list[int]]] = []
         for k, ws in enumerate(self.words):
             own = np.ones(len(ws), bool)
             for i in range(len(ws) - WINDOW + 1):
                 if tuple(ws[i : i + WINDOW]) in shared:
                     own[i : i + WINDOW] = False
             self.own.append(own)
-            f = fingerprints(_hashes(ws, known)) if ws else np.zeros(0, np.uint64)
+            h = _hashes(ws, known)
+            f = fingerprints(h)
+            g = seeds(h)
+            some = [i for i in range(len(g)) if own[i : i + SEED].any()]
+            runs.append((g[some], k, some))
             keep = [i for i in range(len(f)) if own[i : i + WINDOW].any()]
             prints.append(f[keep])
             item_of += [k] * len(keep)
@@ -121,6 +139,15 @@ class ItemIndex:
             count = np.bincount(part, minlength=1 << self.bits).astype(np.int32)
             self.tables.append((order, count, np.concatenate([[0], np.cumsum(count)[:-1]]).astype(np.int32)))
 
+        run = np.concatenate([g for g, _, _ in runs]) if runs else np.zeros(0, np.uint64)
+        order = np.argsort(run, kind="stable")
+        self.runs = run[order]
+        self.run_item = np.array([k for _, k, some in runs for _ in some], np.int32)[order]
+        self.run_at = np.array([i for _, _, some in runs for i in some], np.int32)[order]
+        #: Low bits of the runs' hashes, to pass over most words of a text.
+        self.run_bits = np.zeros(1 << 20, bool)
+        self.run_bits[(self.runs & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+
     def _part(self, prints: np.ndarray, b: int) -> np.ndarray:
         return ((prints >> np.uint64(b * self.bits)) & np.uint64((1 << self.bits) - 1)).astype(np.int64)
 
@@ -145,6 +172,15 @@ class ItemIndex:
         return np.concatenate(left), np.concatenate(right)
 
 
+    def equal_runs(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs (place in the hashes of `seeds`, place in `runs`) that are equal."""
+        hit = np.flatnonzero(self.run_bits[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)])
+        lo, hi = np.searchsorted(self.runs, hashes[hit], "left"), np.searchsorted(self.runs, hashes[hit], "right")
+        n = hi - lo
+        place = np.repeat(hit, n)
+        return place, np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(len(place))
+
+
 def similar(a: str, b: str) -> bool:
     """One edit apart: a letter more, less, other, or two neighbours swapped (two edits in words of nine letters or more)."""
     if a == b:
@@ -172,8 +208,11 @@ def _same(p: list[str], d: list[str], i: int, j: int, n: int, step: int) -> bool
     return True
 
 
-def _extend(p: list[str], d: list[str], i: int, j: int, step: int) -> tuple[int, int]:
-    """From (i, j) on in direction `step`, over equal words and slips in single words: the last place reached."""
+def _extend(p: list[str], d: list[str], i: int, j: int, step: int, others: bool = True) -> tuple[int, int]:
+    """From (i, j) on in direction `step`, over equal words and slips in single words: the last place reached.
+
+    With `others`, another word may stand in place of one between four equal words on either side.
+    """
     run = 4
     while 0 <= i < len(p) and 0 <= j < len(d):
         a, b = p[i], d[j]
@@ -193,15 +232,19 @@ def _extend(p: list[str], d: list[str], i: int, j: int, step: int) -> tuple[int,
             j, run = nj, 0
         elif _same(p, d, ni, j, 2, step):  # a word left out
             i, run = ni, 0
-        elif run >= 4 and _same(p, d, ni, nj, 4, step):  # another word in its place
+        elif others and run >= 4 and _same(p, d, ni, nj, 4, step):  # another word in its place
             i, j, run = ni, nj, 0
         else:
             break
     return i - step, j - step
 
 
-def covered(p: list[str], d: list[str], anchors: list[tuple[int, int]], stretch: int = STRETCH) -> np.ndarray:
-    """Which words of the item `p` stand in the text `d` in stretches of `stretch` or more; anchors are equal windows (place in p, place in d)."""
+def covered(p: list[str], d: list[str], anchors: list[tuple[int, int]], stretch: int = STRETCH, runs: Sequence[tuple[int, int]] = ()) -> np.ndarray:
+    """Which words of the item `p` stand in the text `d` in stretches of `stretch` or more; anchors are equal windows (place in p, place in d).
+
+    From `runs` of SEED equal words only slips are passed over, no other word: sentences of one shape with other names
+    and numbers in it share such runs without being one another's copies.
+    """
     out = np.zeros(len(p), bool)
     reached: dict[int, list[tuple[int, int, int, int]]] = {}
     spans: list[tuple[int, int, int, int]] = []
@@ -217,13 +260,21 @@ def covered(p: list[str], d: list[str], anchors: list[tuple[int, int]], stretch:
         spans.append((left, right, up, down))
         if right - left + 1 >= stretch:
             out[left : right + 1] = True
+    for i, j in sorted(set(runs)):
+        if any(a <= i <= b and c <= j <= e for a, b, c, e in spans[-8:]):
+            continue
+        right, down = _extend(p, d, i, j, 1, False)
+        left, up = _extend(p, d, i, j, -1, False)
+        spans.append((left, right, up, down))
+        if right - left + 1 >= stretch:
+            out[left : right + 1] = True
     return out
 
 
-def item_share(p: list[str], d: list[str], own: np.ndarray, anchors: list[tuple[int, int]]) -> float:
+def item_share(p: list[str], d: list[str], own: np.ndarray, anchors: list[tuple[int, int]], runs: Sequence[tuple[int, int]] = ()) -> float:
     """Share of the item's own words that stand in the text."""
     total = int(own.sum())
-    return float((covered(p, d, anchors) & own).sum()) / total if total else 0.0
+    return float((covered(p, d, anchors, runs=runs) & own).sum()) / total if total else 0.0
 
 
 def leaks_in(texts: list[list[str]], index: ItemIndex, known: dict[str, int], share: float = SHARE) -> list[tuple[int, int, float]]:
@@ -235,24 +286,26 @@ def leaks_in(texts: list[list[str]], index: ItemIndex, known: dict[str, int], sh
     starts = np.cumsum([0, *map(len, texts)])
     hashes = _hashes(flat, known)
     near = []
-    for lo in range(0, len(flat) - WINDOW + 1, CHUNK):  # a single text may be longer than a chunk
+    for lo in range(0, len(flat) - SEED + 1, CHUNK):  # a single text may be longer than a chunk
         p, w = index.near(fingerprints(hashes[lo : lo + CHUNK + WINDOW - 1]))
-        near.append((p + lo, w))
-    place, window = np.concatenate([p for p, _ in near]), np.concatenate([w for _, w in near])
+        near.append((p + lo, index.at[w], index.item_of[w], np.full(len(p), WINDOW)))
+        p, w = index.equal_runs(seeds(hashes[lo : lo + CHUNK + SEED - 1]))
+        near.append((p + lo, index.run_at[w], index.run_item[w], np.full(len(p), SEED)))
+    place, at, item, length = (np.concatenate(x) for x in zip(*near))
     text = np.searchsorted(starts, place, "right") - 1
-    inside = place + WINDOW <= starts[text + 1]
-    place, window, text = place[inside], window[inside], text[inside]
-    item = index.item_of[window]
+    inside = place + length <= starts[text + 1]
+    place, at, item, length, text = place[inside], at[inside], item[inside], length[inside], text[inside]
     order = np.lexsort((place, item, text))
-    place, window, text, item = place[order], window[order], text[order], item[order]
+    place, at, text, item, length = place[order], at[order], text[order], item[order], length[order]
     cuts = np.flatnonzero((np.diff(text) != 0) | (np.diff(item) != 0)) + 1
     for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(text)]):
         if lo == hi:
             continue
         t, k = int(text[lo]), int(item[lo])
         base = int(starts[t])
-        anchors = [(int(a), int(b) - base) for a, b in zip(index.at[window[lo:hi]], place[lo:hi])]
-        s = item_share(index.words[k], texts[t], index.own[k], anchors)
+        near = list(zip(at[lo:hi].tolist(), (place[lo:hi] - base).tolist(), length[lo:hi].tolist()))
+        anchors, runs = [(a, b) for a, b, n in near if n == WINDOW], [(a, b) for a, b, n in near if n == SEED]
+        s = item_share(index.words[k], texts[t], index.own[k], anchors, runs)
         if s >= share - 1e-9:
             out.append((t, k, s))
     return out

@@ -84,6 +84,24 @@ def test_built_cases(spark):
     assert leaks.find_leaks(df.limit(0), q).count() == 0 and leaks.find_leaks(df, q.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("place", range(8))
+@pytest.mark.parametrize("wrong", [lambda w: w[:2] + "x" + w[2:], lambda w: w[:2] + w[3:], lambda w: w[:2] + " " + w[2:]])
+def test_a_slip_anywhere_in_eight_words(place, wrong):
+    r = random.Random(place)
+    items = [(i, text(24, r)) for i in range(20)]
+    index = leaks.ItemIndex(items)
+    part = items[5][1].split()[9:17]
+    part[place] = wrong(part[place])
+    page = leaks.words(f"{text(50, r)} {' '.join(part)} {text(50, r)}")
+    assert [(t, k, s) for t, k, s in leaks.leaks_in([page], index, {})] == [(0, 5, pytest.approx(1 / 3))]
+
+
+def test_sentences_of_one_shape_are_no_copies():
+    index = leaks.ItemIndex([(1, "The gazax comet returns outside to Neskbriton every 94 years, though Fano painted 92 from the loose tables of Farana")])
+    page = leaks.words("So the daxandy comet returns outside to Penuwick every 94 years though Taslus described 41 from the bright tables of Kiljol")
+    assert leaks.leaks_in([page], index, {}) == []
+
+
 def brute(doc, item, own, k=4):
     """Share of the item's own words in runs of eight or more equal words, by all pairs of places."""
     hit = np.zeros(len(item), bool)
