@@ -36,6 +36,28 @@ def test_compaction(spark, tmp_path):
     assert {(r.dest_key, r.ts) for r in got if r.kind == "late"} == {("d", 0), ("e", 0)}
 
 
+def test_late_marks_make_all_buckets_of_twa(spark, tmp_path):
+    parts = [[3, 4, 11, 38, 52], [61, 90, 95, 141], [24, 70, 140, 160]]  # 24 and 70 are late, in buckets of their own
+    parts = [[("s", t, float(t * t % 17), t) for t in part] for part in parts]
+    parts[1].append(("s", 171, float("nan"), 171))
+    rule = spark.createDataFrame([("s", "d", "TWA", 10, 0)], rules.RULES)
+    made, seen = {}, []
+
+    def follow(batch, i):
+        marks = {(r.dest_key, r.ts) for r in batch.collect() if r.kind == "late"}
+        seen.append(marks)
+        stored = spark.createDataFrame([r for part in parts[: i + 1] for r in part], SAMPLES)
+        made.update({(r.dest_key, r.ts): r.value for r in rules.closed_buckets(stored, rule).collect() if (r.dest_key, r.ts) in marks})
+
+    stream = compaction.compact(feed(spark, tmp_path, parts), rule)
+    q = stream.writeStream.outputMode("update").foreachBatch(follow).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert q.exception() is None
+    want = {(r.dest_key, r.ts): r.value for r in rules.closed_buckets(spark.createDataFrame(sum(parts, []), SAMPLES), rule).collect()}
+    assert made == pytest.approx(want) and len(want) > 8
+    assert ("d", 0) in seen[0] and ("d", 0) not in seen[2]
+
+
 def test_late_hours(spark, tmp_path):
     rows = [("s", 10 * HOUR_MS + i * HOUR_MS // 3, 1.0 + i, i) for i in range(30)]
     rows[20] = ("s", 11 * HOUR_MS, 50.0, 20)  # beyond the cut-off
