@@ -6,6 +6,8 @@ scores every text. Statistics (limits of each source, how often a closing line o
 labelled rows that the classifier is fitted on are a bounded sample.
 
 Scoring needs the end of a text and its lengths, so texts are read once where they lie and only narrow rows move.
+Without labelled rows of both kinds (a corpus of a few short texts) nothing can be told: scores are null and no text
+counts as cut.
 """
 
 from __future__ import annotations
@@ -28,8 +30,6 @@ TAIL = 600
 BITS = 18
 #: Training rows that must have a feature for it to get a weight; a feature of a single text would only tell it apart.
 SUPPORT = 6
-#: Closing lines that occur so often are known by their count.
-COMMON = 20
 THRESHOLD = 0.5
 #: Log odds from which a text taken as it is counts as cut when the rows for the fit are cleaned.
 SURE = 3.0
@@ -56,10 +56,10 @@ def narrow(documents: DataFrame) -> DataFrame:
 
 
 def _line(tail: Column, source: Column) -> Column:
-    """Closing line with the site's name and numbers masked."""
+    """Hash of the closing line with the site's name and numbers masked; 64 bits, so lines that meet by chance are rarer than any count tells."""
     last = F.element_at(F.split(tail, "\n"), -1)
     last = F.when(F.length(source) > 0, F.replace(last, source, F.lit("§"))).otherwise(last)
-    return F.regexp_replace(last, r"\d+", "0")
+    return F.xxhash64(F.regexp_replace(last, r"\d+", "0"))
 
 
 def length_stats(rows: DataFrame) -> DataFrame:
@@ -83,11 +83,13 @@ def _peak(b: str = "") -> Column:
 
 
 def limits(stats: DataFrame, b: str = "") -> DataFrame:
-    """Lengths at which a source seems to cut: source, limits (at most 16, the most frequent); `b` is "b" for bytes."""
+    """Lengths at which a source seems to cut: source, limits (all of them); `b` is "b" for bytes.
+
+    A peak holds a third of the texts within 16 characters or lies in a band with an eighth of the source's texts, so a
+    source has few for its range of lengths, whatever the number of its texts.
+    """
     n = "nb" if b else "n"
-    top = Window.partitionBy("source").orderBy(F.desc(f"{b}same"), n)
-    best = stats.where(_peak(b)).withColumn("_r", F.row_number().over(top)).where("_r <= 16")
-    return best.groupBy("source").agg(F.sort_array(F.collect_list(n)).alias(f"{b}limits"))
+    return stats.where(_peak(b)).groupBy("source").agg(F.sort_array(F.collect_list(n)).alias(f"{b}limits"))
 
 
 def seems_intact() -> Column:
@@ -123,7 +125,7 @@ def artificial(sample: DataFrame, cuts: int = CUTS) -> DataFrame:
 
 def with_stats(rows: DataFrame, stats: DataFrame, bstats: DataFrame, lines: DataFrame, own: int) -> DataFrame:
     """`rows` with the statistics of their length and closing line; `own` is 1 where they are counted among them."""
-    out = rows.withColumn("line", _line(F.col("tail"), F.col("source")))
+    out = rows if "line" in rows.columns else rows.withColumn("line", _line(F.col("tail"), F.col("source")))
     out = sized_join(out, stats, ["source", "n"], "left", salt_of=["doc_id"])
     out = sized_join(out, bstats, ["source", "nb"], "left", salt_of=["doc_id"])
     out = sized_join(out, lines, ["line"], "left", salt_of=["doc_id"])
@@ -200,18 +202,21 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rounds: int = 16, rate: floa
         return theta
     sizes = np.array([len(r) for r in rows])
     flat = np.concatenate(rows)
-    names, ids, count = np.unique(flat, return_inverse=True, return_counts=True)
-    used = (count >= SUPPORT)[ids]
+    names = np.flatnonzero(np.bincount(flat, minlength=1 << BITS) >= SUPPORT)
+    place = np.full(1 << BITS, -1, np.int32)
+    place[names] = np.arange(len(names))
+    ids = place[flat]
+    used = ids >= 0
     row_of = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)[used]
-    ids = ids[used].astype(np.int32)
+    ids = ids[used]
     starts = np.concatenate([[0], np.cumsum(np.bincount(row_of, minlength=len(rows)))])
     weights = np.where(labels == 1, 0.5 * len(labels) / max(1, labels.sum()), 0.5 * len(labels) / max(1, (labels == 0).sum()))
     w, gain = np.zeros(len(names)), np.full(len(names), 1e-2)
     rng = np.random.default_rng(7)
     for _ in range(rounds):
         order = rng.permutation(len(rows))
-        for lo in range(0, len(order), 512):
-            batch = order[lo : lo + 512]
+        for lo in range(0, len(order), 256):
+            batch = order[lo : lo + 256]
             n = starts[batch + 1] - starts[batch]
             at = np.repeat(starts[batch] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
             row, x = np.repeat(np.arange(len(batch)), n), ids[at]
@@ -223,7 +228,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rounds: int = 16, rate: floa
     return theta
 
 
-def train(x: list[np.ndarray], split: np.ndarray, labels: np.ndarray, folds: int = 2) -> np.ndarray:
+def train(x: list[np.ndarray], split: np.ndarray, labels: np.ndarray, folds: int = 3) -> np.ndarray:
     """Weights of the classifier from features, a hash that splits the rows, and labels.
 
     Some texts taken as they are (label 0) were cut in truth. Each fold is scored by a classifier that has not seen
@@ -233,7 +238,7 @@ def train(x: list[np.ndarray], split: np.ndarray, labels: np.ndarray, folds: int
     keep = labels == 1
     for f in range(folds):
         seen = np.flatnonzero(fold != f)
-        theta = fit([x[i] for i in seen], labels[seen], rounds=8)
+        theta = fit([x[i] for i in seen], labels[seen])
         for i in np.flatnonzero((fold == f) & (labels == 0)):
             keep[i] = theta[x[i]].sum() < SURE
     kept = np.flatnonzero(keep)
@@ -271,30 +276,33 @@ def score_cuts(documents: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
     """doc_id, source and score (chance that the text was cut) of every text that is not null, empty or blank.
 
     A null source counts as the source ''; rows that repeat are scored as often as they occur; an empty table gives
-    no rows. `train_docs` bounds the documents that the classifier is fitted on (a hash of doc_id picks them).
+    no rows. `train_docs` bounds the documents that the classifier is fitted on: a hash of doc_id picks that many on
+    average at every size, and the rows with the least hashes up to twice that many are kept. All scores are null where
+    the picked texts give no whole text or no cut one to learn from.
     """
     spark = documents.sparkSession
     rows = narrow(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "headers", "raw", "text"))
-    short = checkpointed(rows.drop("text"))  # narrow rows that every step below reads
-    stats = length_stats(short)
-    lines = short.groupBy(_line(F.col("tail"), F.col("source")).alias("line")).agg(F.count("*").alias("lines")).where(F.col("lines") >= COMMON)
-    bstats = byte_stats(short)
-    dense, bdense = checkpointed(stats.where(F.col("near") >= 3)), checkpointed(bstats.where(F.col("bnear") >= 3))
-    lines = checkpointed(lines)
-    total = documents.count()
-    share = min(1.0, train_docs / max(1, total))
-    picked = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1_000_000)) < int(share * 1_000_000))
-    sample = picked.join(limits(dense), "source", "left").join(limits(bdense, "b"), "source", "left")
+    short = checkpointed(rows.drop("text").withColumn("line", _line(F.col("tail"), F.col("source"))))  # narrow rows that every step below reads
+    lines = checkpointed(short.groupBy("line").agg(F.count("*").alias("lines")))
+    stats, bstats = checkpointed(length_stats(short)), checkpointed(byte_stats(short))
+    total = F.lit(max(1, documents.count()))
+    picked = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("train")), total) < train_docs)
+    sample = picked.join(limits(stats), "source", "left").join(limits(bstats, "b"), "source", "left")
     sample = sample.withColumns({c: F.coalesce(c, F.array().cast("array<int>")) for c in ("limits", "blimits")})
-    cut = with_stats(artificial(sample), dense, bdense, lines, 0).withColumn("label", F.lit(1))
-    whole = with_stats(picked.drop("text"), dense, bdense, lines, 1).where(seems_intact()).withColumn("label", F.lit(0))
+    cut = with_stats(artificial(sample), stats, bstats, lines, 0).withColumn("label", F.lit(1))
+    whole = with_stats(picked.drop("text"), stats, bstats, lines, 1).where(seems_intact()).withColumn("label", F.lit(0))
     got = cut.unionByName(whole).mapInArrow(_featurize, "doc_id long, n int, label int, split long, ids array<int>")
-    got = got.limit(2 * train_docs * (1 + CUTS)).toArrow()  # twice what the hash lets through on average
+    got = got.orderBy(F.xxhash64("doc_id", F.lit("keep")), "doc_id", "label", "n", "split").limit(2 * train_docs * (1 + CUTS)).toArrow()
     got = got.sort_by([(c, "ascending") for c in ("label", "doc_id", "n", "split")])
-    flat = got["ids"].combine_chunks()
-    x = np.split(flat.flatten().to_numpy(), flat.offsets.to_numpy()[1:-1] - flat.offsets[0].as_py()) if len(got) else []
-    theta = train(x, got["split"].to_numpy(), got["label"].to_numpy())
-    scored = with_stats(short, dense, bdense, lines, 1)
+    labels = got["label"].to_numpy()
+    theta = np.zeros(1)
+    if (labels == 0).any() and (labels == 1).any():
+        flat = got["ids"].combine_chunks()
+        x = np.split(flat.flatten().to_numpy(), flat.offsets.to_numpy()[1:-1] - flat.offsets[0].as_py())
+        theta = train(x, got["split"].to_numpy(), labels)
+    if not theta.any():  # no row of a kind, or no feature that enough rows have
+        return short.select("doc_id", "source", F.lit(None).cast("double").alias("score"))
+    scored = with_stats(short, stats, bstats, lines, 1)
     return scored.mapInArrow(_score(spark.sparkContext.broadcast(theta)), "doc_id long, source string, score double")
 
 
@@ -304,6 +312,6 @@ def cut_documents(documents: DataFrame, threshold: float = THRESHOLD) -> DataFra
 
 
 def cut_rates(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Per source: texts (not blank), cut, and rate (cut / texts)."""
+    """Per source: texts (not blank), cut, and rate (cut / texts; null where no text could be judged)."""
     s = score_cuts(documents)
     return s.groupBy("source").agg(F.count("*").alias("texts"), F.count_if(F.col("score") >= threshold).alias("cut"), F.round(F.avg((F.col("score") >= threshold).cast("double")), 6).alias("rate"))

@@ -79,3 +79,21 @@ def test_fit_separates():
     labels = cuts.np.array([i % 2 for i in range(400)])
     theta = cuts.fit(rows, labels)
     assert all((theta[x].sum() > 0) == bool(y) for x, y in zip(rows, labels))
+
+
+def test_too_few_texts_to_learn_from(spark):
+    """No whole or no cut text to learn from: nothing is judged and nothing counts as cut."""
+    whole = [(i, "s", None, None, "It is whole.") for i in range(3)]
+    for rows in (whole, whole[:1], [(i, f"s{i % 3}", None, None, f"All {i} is well that ends well.") for i in range(40)]):
+        df = spark.createDataFrame(rows, SCHEMA)
+        assert cuts.cut_documents(df).count() == 0
+        assert all(r.rate is None or r.rate == 0 for r in cuts.cut_rates(df).collect())
+    scores = cuts.score_cuts(spark.createDataFrame(whole, SCHEMA)).collect()
+    assert len(scores) == 3 and all(r.score is None for r in scores)
+
+
+def test_a_tiny_share_of_the_documents_still_fits(corpus):
+    """`train_docs` far below the documents: some rows are picked at any share, or nothing is judged; never are all flagged."""
+    df, _ = corpus
+    for n in (1, 30):
+        assert cuts.score_cuts(df, train_docs=n).where("score >= 0.5").count() < 0.6 * 3000
