@@ -6,16 +6,19 @@ are sized to the smallest part that must be found (a run of WINDOW clean words),
 fingerprint says nothing about a third of it. Fingerprints are indexed by RADIUS + 1 blocks of bits: two that differ
 in at most RADIUS bits agree in one block, so every window within the radius is found. Beside them, runs of SEED equal
 words are looked up, so that stretches whose slips leave no clean window have a candidate too. Candidates are then aligned
-word by word from the matching windows and runs, over slips in single words, and the share of the item's own words (weight 0
-for wording that many items share) in stretches of STRETCH or more decides.
+word by word from the matching windows and runs, over slips in single words. Where other words stand in place of the item's,
+the weighted similarity of the stretch (words that many items have weigh little) tells a copy from a sentence of the same
+shape. The share of the item's own words (weight 0 for wording that many items share) in stretches of STRETCH or more
+decides.
 
-The items are a stated query set, broadcast in blocks of a fixed number; each text is read once per block where it
-lies, and nothing but the found rows leaves a task.
+The items are a stated query set: up to ITEMS of them are indexed and broadcast together, each text is read once where
+it lies, and nothing but the found rows leaves a task. More items take a pass for each ITEMS of them.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 import unicodedata
 from collections import Counter
@@ -37,8 +40,10 @@ STRETCH = 8
 SHARE = 1 / 3
 #: A shingle found in at least this share of the items (and in MANY items) is shared wording.
 SHARED, MANY = 0.05, 8
-#: Items broadcast at a time.
-ITEMS = 5000
+#: Items searched for in one pass over the corpus.
+ITEMS = 100_000
+#: Stretches in which other words stand between runs of SEED equal words count if they are this long and this similar.
+LONG, SIMILAR = 2 * STRETCH, 0.6
 #: Words fingerprinted at a time; bounds memory, not the result.
 CHUNK = 200_000
 
@@ -94,7 +99,7 @@ def seeds(hashes: np.ndarray) -> np.ndarray:
 
 
 def shared_shingles(passages: list[list[str]], share: float = SHARED, many: int = MANY) -> set[tuple[str, ...]]:
-    """Shingles that stand in so many items that they are wording of the suite, not of an item."""
+    """Shingles that stand in so many items that they are wording of the suite, not of an item: `share` of the items, `many` at least."""
     found = Counter()
     for ws in passages:
         found.update({tuple(ws[i : i + WINDOW]) for i in range(len(ws) - WINDOW + 1)})
@@ -107,7 +112,11 @@ class ItemIndex:
 
     def __init__(self, items: list[tuple[int, str | None]], shared: set[tuple[str, ...]] | None = None) -> None:
         self.ids = [i for i, _ in items]
-        self.words = [words(p) for _, p in items]
+        vocabulary: dict[str, str] = {}
+        self.words = [[vocabulary.setdefault(w, w) for w in words(p)] for _, p in items]
+        held = Counter(w for ws in self.words for w in set(ws))
+        #: Weight of each word of the items: low for words that many items have.
+        self.weight = {w: math.log(1 + len(items) / n) for w, n in held.items()}
         shared = shared_shingles(self.words) if shared is None else shared
         self.own: list[np.ndarray] = []
         known: dict[str, int] = {}
@@ -145,8 +154,9 @@ class ItemIndex:
         self.run_item = np.array([k for _, k, some in runs for _ in some], np.int32)[order]
         self.run_at = np.array([i for _, _, some in runs for i in some], np.int32)[order]
         #: Low bits of the runs' hashes, to pass over most words of a text.
-        self.run_bits = np.zeros(1 << 20, bool)
-        self.run_bits[(self.runs & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        self.mask = np.uint64((1 << max(20, (16 * len(self.runs)).bit_length())) - 1)
+        self.run_bits = np.zeros(int(self.mask) + 1, bool)
+        self.run_bits[(self.runs & self.mask).astype(np.int64)] = True
 
     def _part(self, prints: np.ndarray, b: int) -> np.ndarray:
         return ((prints >> np.uint64(b * self.bits)) & np.uint64((1 << self.bits) - 1)).astype(np.int64)
@@ -171,10 +181,9 @@ class ItemIndex:
             return np.zeros(0, np.int64), np.zeros(0, np.int32)
         return np.concatenate(left), np.concatenate(right)
 
-
     def equal_runs(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All pairs (place in the hashes of `seeds`, place in `runs`) that are equal."""
-        hit = np.flatnonzero(self.run_bits[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)])
+        hit = np.flatnonzero(self.run_bits[(hashes & self.mask).astype(np.int64)])
         lo, hi = np.searchsorted(self.runs, hashes[hit], "left"), np.searchsorted(self.runs, hashes[hit], "right")
         n = hi - lo
         place = np.repeat(hit, n)
@@ -208,12 +217,13 @@ def _same(p: list[str], d: list[str], i: int, j: int, n: int, step: int) -> bool
     return True
 
 
-def _extend(p: list[str], d: list[str], i: int, j: int, step: int, others: bool = True) -> tuple[int, int]:
+def _extend(p: list[str], d: list[str], i: int, j: int, step: int, others: int = 4, slips: list[int] | None = None) -> tuple[int, int]:
     """From (i, j) on in direction `step`, over equal words and slips in single words: the last place reached.
 
-    With `others`, another word may stand in place of one between four equal words on either side.
+    Another word may stand in place of one between `others` equal words on either side (0: nowhere); the places of
+    such words in the item are added to `slips`.
     """
-    run = 4
+    run = others
     while 0 <= i < len(p) and 0 <= j < len(d):
         a, b = p[i], d[j]
         if a == b:
@@ -232,21 +242,32 @@ def _extend(p: list[str], d: list[str], i: int, j: int, step: int, others: bool
             j, run = nj, 0
         elif _same(p, d, ni, j, 2, step):  # a word left out
             i, run = ni, 0
-        elif others and run >= 4 and _same(p, d, ni, nj, 4, step):  # another word in its place
+        elif others and run >= others and _same(p, d, ni, nj, others, step):  # another word in its place
+            if slips is not None:
+                slips.append(i)
             i, j, run = ni, nj, 0
         else:
             break
     return i - step, j - step
 
 
-def covered(p: list[str], d: list[str], anchors: list[tuple[int, int]], stretch: int = STRETCH, runs: Sequence[tuple[int, int]] = ()) -> np.ndarray:
+def similarity(p: list[str], left: int, right: int, slips: list[int], weight: dict[str, float]) -> float:
+    """Weighted share of the item's words left..right that the text has too, those at `slips` being other words there.
+
+    Words that many items have weigh little, so sentences of one shape with other names and numbers are not similar.
+    """
+    total = sum(weight[p[k]] for k in range(left, right + 1))
+    return 1 - sum(weight[p[k]] for k in slips) / total if total else 0.0
+
+
+def covered(p: list[str], d: list[str], anchors: list[tuple[int, int]], stretch: int = STRETCH, runs: Sequence[tuple[int, int]] = (), weight: dict[str, float] | None = None) -> np.ndarray:
     """Which words of the item `p` stand in the text `d` in stretches of `stretch` or more; anchors are equal windows (place in p, place in d).
 
-    From `runs` of SEED equal words only slips are passed over, no other word: sentences of one shape with other names
-    and numbers in it share such runs without being one another's copies.
+    From `runs` of SEED equal words slips are passed over, and other words only where the stretch is LONG or longer and
+    its weighted similarity at least SIMILAR: sentences of one shape with other names and numbers in it share such runs
+    without being one another's copies.
     """
     out = np.zeros(len(p), bool)
-    reached: dict[int, list[tuple[int, int, int, int]]] = {}
     spans: list[tuple[int, int, int, int]] = []
     for i, j in sorted(set(anchors)):
         if any(a <= i <= b and c <= j <= e for a, b, c, e in spans[-8:]):
@@ -263,18 +284,22 @@ def covered(p: list[str], d: list[str], anchors: list[tuple[int, int]], stretch:
     for i, j in sorted(set(runs)):
         if any(a <= i <= b and c <= j <= e for a, b, c, e in spans[-8:]):
             continue
-        right, down = _extend(p, d, i, j, 1, False)
-        left, up = _extend(p, d, i, j, -1, False)
+        slips: list[int] = []
+        right, down = _extend(p, d, i, j, 1, SEED, slips)
+        left, up = _extend(p, d, i, j, -1, SEED, slips)
+        if not slips or weight is None or right - left + 1 < LONG or similarity(p, left, right, slips, weight) < SIMILAR:
+            right, down = _extend(p, d, i, j, 1, 0)
+            left, up = _extend(p, d, i, j, -1, 0)
         spans.append((left, right, up, down))
         if right - left + 1 >= stretch:
             out[left : right + 1] = True
     return out
 
 
-def item_share(p: list[str], d: list[str], own: np.ndarray, anchors: list[tuple[int, int]], runs: Sequence[tuple[int, int]] = ()) -> float:
+def item_share(p: list[str], d: list[str], own: np.ndarray, anchors: list[tuple[int, int]], runs: Sequence[tuple[int, int]] = (), weight: dict[str, float] | None = None) -> float:
     """Share of the item's own words that stand in the text."""
     total = int(own.sum())
-    return float((covered(p, d, anchors, runs=runs) & own).sum()) / total if total else 0.0
+    return float((covered(p, d, anchors, runs=runs, weight=weight) & own).sum()) / total if total else 0.0
 
 
 def leaks_in(texts: list[list[str]], index: ItemIndex, known: dict[str, int], share: float = SHARE) -> list[tuple[int, int, float]]:
@@ -305,7 +330,7 @@ def leaks_in(texts: list[list[str]], index: ItemIndex, known: dict[str, int], sh
         base = int(starts[t])
         near = list(zip(at[lo:hi].tolist(), (place[lo:hi] - base).tolist(), length[lo:hi].tolist()))
         anchors, runs = [(a, b) for a, b, n in near if n == WINDOW], [(a, b) for a, b, n in near if n == SEED]
-        s = item_share(index.words[k], texts[t], index.own[k], anchors, runs)
+        s = item_share(index.words[k], texts[t], index.own[k], anchors, runs, index.weight)
         if s >= share - 1e-9:
             out.append((t, k, s))
     return out
@@ -343,7 +368,8 @@ def _item_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def find_leaks(documents: DataFrame, items: DataFrame, share: float = SHARE, block: int = ITEMS) -> DataFrame:
     """doc_id, item_id and the share of the item's own words found, one row per page and item.
 
-    Null and empty texts and passages, null ids, and passages of fewer than WINDOW words give no rows; rows of `documents`
+    Null and empty texts and passages and null ids give no rows, nor do passages of fewer than STRETCH words, which no
+    stretch can cover, and passages of wording that many items share only, of which no word counts; rows of `documents`
     that repeat give one row; every mirror of a page is found by itself; an empty table on either side gives no rows;
     other columns are ignored. Texts are read whole, whatever their length.
     """

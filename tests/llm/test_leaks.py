@@ -129,3 +129,34 @@ def test_no_clean_leak_is_missed(spark, data):
         for k in near:
             if brute(ws, index.words[k], index.own[k]) >= leaks.SHARE:
                 assert (d, index.ids[k]) in found
+
+
+@pytest.mark.parametrize("every,least", [(4, 0.95), (5, 0.95), (6, 0.95)])
+def test_dense_slips(data, spark, every, least):
+    """Another word in place of every fourth, fifth or sixth word of a whole passage."""
+    rows = spark.read.parquet(f"{data}/eval_items.parquet").where("passage is not null").select("item_id", "passage").collect()
+    index, r, known = leaks.ItemIndex([(x.item_id, x.passage) for x in rows]), random.Random(every), {}
+    hit = 0
+    for k, ws in enumerate(index.words):
+        page = text(40, r).split() + [w if (i + 1) % every else r.choice(WORDS) for i, w in enumerate(ws)] + text(40, r).split()
+        hit += any(x == k for _, x, _ in leaks.leaks_in([page], index, known))
+    assert hit >= least * len(rows)
+
+
+def test_similarity_weighs_shared_words_little():
+    index = leaks.ItemIndex([(i, f"the {a} comet returns to {b} every year") for i, (a, b) in enumerate(zip(WORDS[:40], WORDS[40:80]))])
+    p = index.words[0]
+    names = leaks.similarity(p, 0, 7, [1, 5], index.weight)
+    shape = leaks.similarity(p, 0, 7, [0, 2], index.weight)
+    assert names < 0.5 < shape < 1 and leaks.similarity(p, 0, 7, [], index.weight) == 1
+
+
+def test_many_items_take_one_pass(spark, monkeypatch):
+    """The corpus is read once for all items up to ITEMS."""
+    passes = []
+    search = leaks._search
+    monkeypatch.setattr(leaks, "_search", lambda *a: passes.append(1) or search(*a))
+    r = random.Random(2)
+    q = spark.createDataFrame([(i, text(12, r)) for i in range(6000)], ITEMS)
+    leaks.find_leaks(spark.createDataFrame([(1, "x")], "doc_id long, text string"), q)
+    assert len(passes) == 1
