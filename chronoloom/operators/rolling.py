@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from chronoloom.operators.readings import readings
 
+#: Days that one step of a gap makes at a time; bounds the arrays, not the result.
+STEP = 4096
+
 
 def daily_totals(samples: DataFrame) -> DataFrame:
     """Sparse daily totals of the readings: series_key, day (number), total, n."""
@@ -21,7 +24,8 @@ def with_calendar(daily: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy("series_key").orderBy("day")
     upto = F.coalesce(F.lead("day").over(w) - 1, F.col("day"))
-    spread = daily.withColumn("_cal", F.sequence("day", upto)).select("series_key", "day", "total", "n", F.explode("_cal").alias("_d"))
+    spread = daily.withColumn("_to", upto).withColumn("_s", F.explode(F.sequence("day", "_to", F.lit(STEP).cast("long"))))
+    spread = spread.withColumn("_d", F.explode(F.sequence("_s", F.least(F.col("_to"), F.col("_s") + (STEP - 1)))))
     real = F.col("_d") == F.col("day")
     return spread.select(
         "series_key",
