@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Width of a block of time within which neighbours are looked up; rows at its edges take them from a small table.
 BLOCK_MS = 86_400_000 * 4
 
 
-def with_neighbours(rows: DataFrame, key: list[str], block_ms: int = BLOCK_MS) -> DataFrame:
+def with_neighbours(rows: DataFrame, key: list[str], block_ms: int | Column = BLOCK_MS) -> DataFrame:
     """`rows` (key, ts, value, …) with prev_ts, prev_v, next_ts, next_v of the same key.
 
     The window runs within (key, block of time), so a key with a third of all rows is spread over its blocks. The
     first and last row of each block, a few rows per key, supply the neighbours across blocks.
     """
-    blocked = rows.withColumn("_blk", F.floor(F.col("ts") / F.lit(block_ms)).cast("long"))
+    blocked = rows.withColumn("_blk", F.floor(F.col("ts") / (F.lit(block_ms) if isinstance(block_ms, int) else block_ms)).cast("long"))
     edges = blocked.groupBy(*key, "_blk").agg(
         F.min("ts").alias("_f"), F.min_by("value", "ts").alias("_fv"), F.max("ts").alias("_l"), F.max_by("value", "ts").alias("_lv")
     )

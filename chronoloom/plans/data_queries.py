@@ -81,6 +81,27 @@ b AS (SELECT DISTINCT dest_key, series_key, bucket_ms, align_ms, ts, {_floor("ts
 n AS (SELECT *, lead(ts) OVER w AS nts, lead(p) OVER w AS np FROM b WINDOW w AS (PARTITION BY dest_key, bucket_ms, align_ms ORDER BY ts))
 SELECT DISTINCT dest_key, unnest(generate_series(p + bucket_ms, np - bucket_ms, bucket_ms)) AS period_start
 FROM n WHERE np - p > bucket_ms AND nts - ts <= 259200000""",
+    "p1_grid": f"""WITH {_READINGS}, {_RULES},
+j AS (SELECT dest_key, agg, bucket_ms, align_ms, ts, value, {_floor("ts", "bucket_ms", "align_ms")} AS p FROM readings JOIN r USING (series_key)),
+pt AS (SELECT dest_key, agg, bucket_ms, align_ms, p, ts, max(value) AS value FROM j GROUP BY ALL),
+nb AS (SELECT *, lag(ts) OVER w AS pts, lag(value) OVER w AS pv, lead(ts) OVER w AS nts, lead(value) OVER w AS nv FROM pt WINDOW w AS (PARTITION BY dest_key, agg, bucket_ms, align_ms ORDER BY ts)),
+ar AS (SELECT dest_key, agg, bucket_ms, align_ms, p,
+  CASE WHEN pts IS NULL THEN 0 WHEN pts >= p THEN (pv + value) / 2 * (ts - pts) ELSE (pv + (value - pv) * (p - pts) / (ts - pts) + value) / 2 * (ts - p) END
+  + CASE WHEN nts >= p + bucket_ms THEN (value + value + (nv - value) * (p + bucket_ms - ts) / (nts - ts)) / 2 * (p + bucket_ms - ts) ELSE 0 END AS area,
+  CASE WHEN pts IS NULL THEN 0 ELSE ts - greatest(pts, p) END + CASE WHEN nts >= p + bucket_ms THEN p + bucket_ms - ts ELSE 0 END AS width FROM nb),
+tw AS (SELECT dest_key, agg, bucket_ms, align_ms, p, CASE WHEN sum(width) > 0 THEN sum(area) / sum(width) END AS tw FROM ar GROUP BY ALL),
+l AS (SELECT dest_key, agg, bucket_ms, align_ms, p, first(value ORDER BY ts, value DESC) AS fv, first(value ORDER BY ts DESC, value DESC) AS lv FROM pt GROUP BY ALL),
+b AS (SELECT dest_key, agg, bucket_ms, align_ms, p, count(*) AS n, min(ts) AS ft, max(ts) AS lt, min(value) AS lo, max(value) AS hi, sum(value) AS total, avg(value) AS mean, stddev_pop(value) AS sp, var_pop(value) AS vp FROM j GROUP BY ALL),
+e AS (SELECT dest_key, agg, bucket_ms, align_ms, min(p) AS p0, max(p) AS p1 FROM b GROUP BY ALL),
+g AS (SELECT dest_key, agg, bucket_ms, align_ms, unnest(generate_series(p0, p1, bucket_ms)) AS p FROM e),
+x AS (SELECT g.*, n, ft, lt, lv, CASE agg WHEN 'min' THEN lo WHEN 'max' THEN hi WHEN 'sum' THEN total WHEN 'avg' THEN mean WHEN 'count' THEN CAST(n AS DOUBLE) WHEN 'countall' THEN CAST(n AS DOUBLE)
+    WHEN 'first' THEN fv WHEN 'last' THEN lv WHEN 'range' THEN hi - lo WHEN 'std.p' THEN sp WHEN 'var.p' THEN vp WHEN 'twa' THEN coalesce(tw, lv) END AS v
+  FROM g LEFT JOIN b USING (dest_key, agg, bucket_ms, align_ms, p) LEFT JOIN l USING (dest_key, agg, bucket_ms, align_ms, p) LEFT JOIN tw USING (dest_key, agg, bucket_ms, align_ms, p)),
+y AS (SELECT *, last_value(lt IGNORE NULLS) OVER w AS pt, last_value(lv IGNORE NULLS) OVER w AS pv, first_value(ft IGNORE NULLS) OVER d AS nt FROM x
+  WINDOW w AS (PARTITION BY dest_key, agg, bucket_ms, align_ms ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+         d AS (PARTITION BY dest_key, agg, bucket_ms, align_ms ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT dest_key, agg, bucket_ms, p AS period_start, CASE WHEN n > 0 THEN 'read' WHEN nt - pt <= 259200000 THEN 'filled' ELSE 'missing' END AS state,
+  CASE WHEN n IS NULL THEN nt - pt END AS gap_ms, coalesce(n, 0) AS n, round(CASE WHEN n > 0 THEN v WHEN nt - pt <= 259200000 THEN pv END, 6) AS value FROM y""",
     "p2_found": """WITH l AS (SELECT DISTINCT series_key, label_key, label_value FROM series_labels WHERE label_key <> '' AND label_value <> ''),
 s AS (SELECT series_key, count(*) AS n FROM samples GROUP BY ALL)
 SELECT label_key, label_value FROM l JOIN s USING (series_key) GROUP BY ALL HAVING sum(n) * 20 >= (SELECT count(*) FROM samples)""",

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from chronoloom.operators import grid, hotkeys, late, rolling
+from chronoloom.operators import grid, hotkeys, late, readings, rolling
 from chronoloom.operators.readings import DAY_MS, HOUR_MS
 from chronoloom.streaming.late import Replay
 
@@ -181,3 +181,26 @@ def test_replay_state_equals_batch():
         kept = [x for x in want.values() if x[1] // HOUR_MS * HOUR_MS == h and x[3] != "beyond"]
         assert (n, total) == (len(kept), sum(x[2] for x in kept if x[2] != "nan"))
     assert state.replayed < 60 * len(rows)
+
+
+def test_hot_blocks_and_days_give_the_same(spark, data):
+    """Blocks of periods and days of a series that are spread over several tasks."""
+    rows, rules = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("samples", "rules"))
+    grids = [{tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in grid.regular_grid(rows, rules, task_rows=n).collect()} for n in (2_000_000, 150)]
+    assert grids[0] == grids[1] and len(grids[0]) > 1000
+    days = [readings.readings(rows, n) for n in (2_000_000, 20)]
+    assert {tuple(r) for r in days[0].collect()} == {tuple(r) for r in days[1].collect()}
+    total = lambda df: {tuple(r) for r in df.groupBy("series_key", "day").agg(F.sum("value"), F.count("*")).collect()}
+    assert total(days[0]) == total(days[1])
+
+
+def test_one_shuffle_for_daily_totals(spark, data):
+    plan = rolling.daily_totals(spark.read.parquet(f"{data}/samples.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
+def test_a_gap_of_many_days(spark):
+    """Steps of the calendar: a gap of more days than one array holds."""
+    daily = spark.createDataFrame([("a", 0, 1.0, 1), ("a", 3 * rolling.STEP, 2.0, 1), ("b", 5, 1.0, 2)], "series_key string, day long, total double, n long")
+    got = rolling.with_calendar(daily)
+    assert got.count() == 3 * rolling.STEP + 2 and got.agg(F.sum("active")).first()[0] == 3 and got.select("series_key", "day").distinct().count() == 3 * rolling.STEP + 2
