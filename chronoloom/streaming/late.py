@@ -33,17 +33,18 @@ class Replay:
         self.values: list[float] = []
         #: After i * spacing rows: rows and total of the hour that was open there.
         self.snapshots: list[tuple[int, int, float]] = []
-        self.seen: set[int] = set()
+        #: Time tag of each seq that a copy could still change an output by.
+        self.seen: dict[int, int] = {}
         self.replayed = 0
 
     def add(self, seq: int, ts: int, value: float) -> tuple[str, dict[int, tuple[int, float]]]:
         """Class of the row and the outputs it replaces: hour -> (rows, total of the numbers)."""
         if seq in self.seen:
             return "copy", {}
-        self.seen.add(seq)
         last = self.last
         if last is not None and self.retention > 0 and last - ts > self.retention:
             return "beyond", {}
+        self.seen[seq] = ts
         kind = "correction" if last is not None and ts - ts % HOUR_MS < last - last % HOUR_MS else "on_time"
         self.last = ts if last is None else max(last, ts)
         at = bisect.bisect_right(self.ts, ts)
@@ -77,24 +78,30 @@ class Replay:
         return sum(not math.isnan(v) for v in self.values[lo:hi])
 
     def forget(self) -> None:
-        """Drops rows of hours that no row within the cut-off can touch any more."""
+        """Drops rows of hours that no row within the cut-off can touch any more, and what copies of them are known by.
+
+        Copies of such rows are beyond the cut-off themselves. Without a cut-off nothing can be dropped: give series a
+        retention where they are to run for long.
+        """
         if self.retention <= 0 or self.last is None:
             return
         oldest = self.last - self.retention
+        if len(self.seen) > 2 * len(self.ts) + self.spacing:
+            self.seen = {s: t for s, t in self.seen.items() if t >= oldest}
         cut = bisect.bisect_left(self.ts, oldest - oldest % HOUR_MS)
         cut -= cut % self.spacing  # whole snapshots, so those that stay keep their places
         if cut:
             del self.ts[:cut], self.values[:cut], self.snapshots[: cut // self.spacing]
 
     def dump(self) -> str:
-        return json.dumps([self.last, self.retention, self.spacing, self.ts, [None if math.isnan(v) else v for v in self.values], self.snapshots, sorted(self.seen)])
+        return json.dumps([self.last, self.retention, self.spacing, self.ts, [None if math.isnan(v) else v for v in self.values], self.snapshots, list(self.seen.items())])
 
     @classmethod
     def load(cls, text: str) -> Replay:
         last, retention, spacing, ts, values, snapshots, seen = json.loads(text)
         out = cls(last, retention, spacing)
         out.ts, out.values = ts, [math.nan if v is None else v for v in values]
-        out.snapshots, out.seen = [tuple(s) for s in snapshots], set(seen)
+        out.snapshots, out.seen = [tuple(s) for s in snapshots], dict(map(tuple, seen))
         return out
 
 

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -204,3 +205,39 @@ def test_a_gap_of_many_days(spark):
     daily = spark.createDataFrame([("a", 0, 1.0, 1), ("a", 3 * rolling.STEP, 2.0, 1), ("b", 5, 1.0, 2)], "series_key string, day long, total double, n long")
     got = rolling.with_calendar(daily)
     assert got.count() == 3 * rolling.STEP + 2 and got.agg(F.sum("active")).first()[0] == 3 and got.select("series_key", "day").distinct().count() == 3 * rolling.STEP + 2
+
+
+@pytest.mark.parametrize("spacing,most", [(4, 7), (16, 50), (256, 400)])
+def test_state_in_order_replaces_outputs(spacing, most):
+    """Batches of arrivals against a plain pass: classes, hours, and that no more than the suffix is replayed."""
+    r = random.Random(spacing)
+    rows, clock = [], 0
+    for seq in range(600):
+        clock += r.randrange(0, HOUR_MS // 3)
+        rows.append((seq // 2, clock - (r.randrange(6 * HOUR_MS) if r.random() < 0.2 else 0), NAN if r.random() < 0.1 else r.randrange(80) / 8))
+    state, at, kinds = late.Ordered(5 * HOUR_MS, 4 * HOUR_MS, spacing), 0, []
+    while at < len(rows):
+        n = r.randint(1, most)
+        seq, ts, v = (np.array(x) for x in zip(*rows[at : at + n]))
+        kinds += [late.KINDS[k] for k in state.apply(seq, ts, v.astype(float))[2]]
+        at += n
+    want, hours = [], {}
+    for seq, ts, v in rows:
+        last = max([5 * HOUR_MS, *(t for s, t, _ in rows if s < seq)])
+        want.append("beyond" if last - ts > 4 * HOUR_MS else "correction" if ts // HOUR_MS < last // HOUR_MS else "on_time")
+        if want[-1] != "beyond":
+            n, k, total = hours.get(ts - ts % HOUR_MS, (0, 0, 0.0))
+            hours[ts - ts % HOUR_MS] = (n + 1, k + (v == v), total + (v if v == v else 0.0))
+    assert kinds == want and {"beyond", "correction"} <= set(want)
+    got, outputs = state.outputs()
+    assert dict(zip(got.tolist(), zip(*outputs.tolist()))) == hours
+    assert list(state.ts) == sorted(t for (_, t, _), k in zip(rows, want) if k != "beyond")
+    assert state.replayed < len(rows) * (spacing + 40)
+
+
+def test_copies_are_forgotten_with_the_cut_off():
+    state = Replay(None, HOUR_MS)
+    for seq in range(5000):
+        state.add(seq, seq * 60_000, 1.0)
+        state.forget()
+    assert len(state.seen) < 1000 and state.add(4999, 4999 * 60_000, 1.0)[0] == "copy" and state.add(3, 180_000, 1.0)[0] == "beyond"
