@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
@@ -48,9 +49,22 @@ class TimeSeries:
     series: DataFrame
     rules: DataFrame | None = None
     config: EngineConfig = EngineConfig()
+    #: Samples of a key (None: all) in [lo, hi], by filters on the columns as they are stored, so that the scan can prune.
+    scan: Callable[[str | None, int, int], DataFrame] | None = None
 
     def with_samples(self, samples: DataFrame) -> TimeSeries:
-        return replace(self, samples=samples)
+        return replace(self, samples=samples, scan=None)
+
+    def between(self, lo: int, hi: int, key: str | None = None) -> DataFrame:
+        """Samples of [lo, hi], of one series if `key` is given."""
+        if self.scan is not None:
+            return self.scan(key, lo, hi)
+        rows = self.samples.select("series_key", "ts", "value").where(F.col("ts").between(lo, hi))
+        return rows if key is None else rows.where(F.col("series_key") == key)
+
+    def of(self, key: str, lo: int = 0, hi: int = MAX_TS) -> TimeSeries:
+        """One series only."""
+        return replace(self, samples=self.between(lo, hi, key), series=self.series.where(F.col("series_key") == key), scan=None)
 
     def with_series(self, series: DataFrame) -> TimeSeries:
         return replace(self, series=series)
@@ -84,7 +98,7 @@ def series_row(key: str, labels: dict[str, str] | None = None, retention_ms: int
     if retention_ms < 0:
         raise ValueError("retention must not be negative")
     if chunk_size % 8 or not LEAST_CHUNK <= chunk_size <= MOST_CHUNK:
-        raise ValueError("chunk size must be a multiple of 8 in the range [48, 1048576]")
+        raise ValueError("the chunk size has to be divisible by 8 and lie between 48 and 1048576")
     if encoding.lower() not in ENCODINGS:
         raise ValueError(f"unknown encoding {encoding!r}")
     if duplicate_policy is not None and duplicate_policy.lower() not in POLICIES:
@@ -124,10 +138,12 @@ def alter(ts: TimeSeries, key: str, **options) -> TimeSeries:
 
 
 def copy_series(ts: TimeSeries, key: str, to: str) -> TimeSeries:
-    """A copy of a series and its samples under another key; rules are not copied."""
+    """A copy of a series and its samples under another key; rules are not copied. An error if that key exists."""
+    if not ts.series.where(F.col("series_key") == to).isEmpty():
+        raise ValueError(f"series {to!r} exists already")
     row = catalog(ts.series).where(F.col("series_key") == key).withColumn("series_key", F.lit(to)).withColumn("source_key", F.lit(None).cast("string"))
     rows = ts.samples.where(F.col("series_key") == key).withColumn("series_key", F.lit(to))
-    return replace(ts, samples=ts.samples.unionByName(rows), series=catalog(ts.series).unionByName(row))
+    return replace(ts, scan=None, samples=ts.samples.unionByName(rows), series=catalog(ts.series).unionByName(row))
 
 
 def rename_series(ts: TimeSeries, key: str, to: str) -> TimeSeries:
@@ -136,4 +152,4 @@ def rename_series(ts: TimeSeries, key: str, to: str) -> TimeSeries:
     rows = ts.samples.withColumn("series_key", new("series_key"))
     series = catalog(ts.series).withColumn("series_key", new("series_key")).withColumn("source_key", new("source_key"))
     rules = ts.rules.withColumn("source_key", new("source_key")).withColumn("dest_key", new("dest_key")) if ts.rules is not None else None
-    return replace(ts, samples=rows, series=series, rules=rules)
+    return replace(ts, scan=None, samples=rows, series=series, rules=rules)

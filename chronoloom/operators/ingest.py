@@ -4,7 +4,8 @@ Checks run in this order for each row: readable, retention, near-duplicate suppr
 policy. What depends on all earlier rows of a series is only the greatest time tag so far, a prefix maximum taken
 over blocks of the log; equal time tags are folded per (series, ts), so a hot series is no hot task. Only series with
 suppression thresholds need their rows one after another; they pass through a sorted stream of batches that holds one
-series' last sample.
+series' last sample. Without thresholds only a repeat of the last sample is suppressed; rows of its time tag pass through
+such a stream by (series, ts).
 """
 
 from __future__ import annotations
@@ -12,12 +13,14 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.model import EngineConfig, catalog
 from chronoloom.operators.late import BLOCK
+from chronoloom.session import sized_join
 
 LOG = ["series_key", "ts", "value", "seq"]
 
@@ -27,10 +30,16 @@ def _policies(log: DataFrame, series: DataFrame, config: EngineConfig) -> DataFr
     cat = catalog(series).groupBy("series_key").agg(
         F.max("duplicate_policy").alias("_p"), F.max("retention_ms").alias("_ret"), F.max("ignore_max_time_diff").alias("_dt"), F.max("ignore_max_val_diff").alias("_dv")
     )
+    # the greatest stored time tag when the log begins, where the catalog has one
+    if "last_timestamp" in series.columns:
+        reached = series.groupBy("series_key").agg(F.max("last_timestamp").alias("_lt"))
+        cat = cat.join(reached, "series_key", "left")
+    else:
+        cat = cat.withColumn("_lt", F.lit(None).cast("long"))
     own = F.col("on_duplicate") if "on_duplicate" in log.columns else F.lit(None).cast("string")
-    rows = log.select(*LOG, own.alias("_own")).join(cat, "series_key", "left")
+    rows = sized_join(log.select(*LOG, own.alias("_own")), cat, ["series_key"], "left", salt_of=["seq"])
     policy = F.lower(F.coalesce(F.col("_own"), F.col("_p"), F.lit(config.duplicate_policy)))
-    return rows.select(*LOG, policy.alias("policy"), *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("_ret", "_dt", "_dv")])
+    return rows.select(*LOG, policy.alias("policy"), "_lt", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("_ret", "_dt", "_dv")])
 
 
 def _suppress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,6 +66,30 @@ def _suppress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.set_column(b.schema.get_field_index("status"), "status", pa.array(out, pa.string()))
 
 
+def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Status `ignored` for repeats of the last sample; rows come sorted by series, time tag and arrival.
+
+    Only rows marked `_top` share their time tag with such a row; the others are passed on as they are.
+    """
+    group, held = None, None
+    for b in batches:
+        status, marked = b.column("status"), np.flatnonzero(b.column("_top").to_numpy(zero_copy_only=False))
+        if len(marked):
+            out = status.to_pylist()
+            some = b.take(pa.array(marked))
+            for i, k, t, v, policy, last, t0, v0 in zip(marked.tolist(), *[some.column(c).to_pylist() for c in ("series_key", "ts", "value", "policy", "_last", "_t0", "_v0")]):
+                if (k, t) != group:
+                    group, held = (k, t), v0 if t0 == t else None
+                if out[i] != "accepted":
+                    continue
+                if policy == "last" and last == t and held is not None and held == v:
+                    out[i] = "ignored"
+                else:
+                    held = v if held is None else merge_values(held, v, policy)
+            status = pa.array(out, pa.string())
+        yield b.set_column(b.schema.get_field_index("status"), "status", status)
+
+
 def merge_values(old: float, new: float, policy: str) -> float:
     """Stored value after a row with an equal time tag."""
     one_nan = math.isnan(old) != math.isnan(new)
@@ -89,6 +122,10 @@ def _merge(old: Column, new: Column, policy: Column) -> Column:
 def outcomes(log: DataFrame, series: DataFrame, stored: DataFrame | None = None, config: EngineConfig = EngineConfig(), block: int = BLOCK) -> DataFrame:
     """Each row of the log with its policy and status: `unreadable`, `rejected` (beyond retention), `ignored` or `accepted`.
 
+    What a series has reached when the log begins is the greatest time tag of `stored` and the catalog's last_timestamp,
+    if there are such. Under the policy `last` a number is ignored if its time tag is not below the last sample's and both
+    differences are within the series' thresholds; with thresholds of 0 these are repeats of the last sample.
+
     Unreadable rows have no key, no value, no or a negative ts, no seq, or an unknown policy. A row with an accepted status may still
     be refused by the policy `block` if its time tag is taken.
     """
@@ -103,17 +140,22 @@ def outcomes(log: DataFrame, series: DataFrame, stored: DataFrame | None = None,
     rows = rows.join(tops, ["series_key", "_blk"], "left")
     if stored is not None:
         base = stored.groupBy("series_key").agg(F.max("ts").alias("_t0"), F.max_by("value", "ts").alias("_v0"))
-        rows = rows.join(base, "series_key", "left")
+        rows = sized_join(rows, base, ["series_key"], "left", salt_of=["seq"], once=True)
     else:
         rows = rows.withColumns({"_t0": F.lit(None).cast("long"), "_v0": F.lit(None).cast("double")})
+    known = F.col("_lt").isNull() | (F.col("_t0") >= F.col("_lt"))  # else the last sample is one that isn't stored
+    rows = rows.withColumns({"_v0": F.when(known, F.col("_v0")), "_t0": F.greatest("_t0", "_lt")})
     rows = rows.withColumn("_last", F.greatest("_t0", "_old", F.max(F.when(F.col("_fine"), F.col("ts"))).over(within)))
     late = (F.col("_ret") > 0) & (F.col("_last") > F.col("ts")) & (F.col("_last") - F.col("ts") > F.col("_ret"))
     status = F.when(~F.col("_fine"), "unreadable").when(F.coalesce(late, F.lit(False)), "rejected").otherwise("accepted")
-    rows = rows.select(*LOG, "policy", "_dt", "_dv", "_ret", "_t0", "_v0", status.alias("status"))
+    rows = rows.select(*LOG, "policy", "_dt", "_dv", "_ret", "_t0", "_v0", "_last", status.alias("status"))
     strict = (F.col("_dt") > 0) | (F.col("_dv") > 0)
-    plain = rows.where(~strict).select(*LOG, "policy", "status")
+    top = (F.col("status") == "accepted") & (F.col("policy") == "last") & (F.col("ts") == F.col("_last"))
+    plain = rows.where(~strict).drop("_dt", "_dv", "_ret")
+    plain = plain.withColumn("_top", F.max(F.coalesce(top, F.lit(False))).over(Window.partitionBy("series_key", "ts"))).sortWithinPartitions("series_key", "ts", "seq")
+    plain = plain.mapInArrow(_repeats, plain.schema).select(*LOG, "policy", "status")
     # suppressed rows may not raise the greatest time tag, so the stream keeps it and judges retention itself
-    one = rows.where(strict).repartition("series_key").sortWithinPartitions("series_key", "seq")
+    one = rows.where(strict).drop("_last").repartition("series_key").sortWithinPartitions("series_key", "seq")
     kept = one.mapInArrow(_suppress, one.schema).select(*LOG, "policy", "status")
     return plain.unionByName(kept)
 

@@ -35,7 +35,9 @@ def multi_range(ts: TimeSeries, spec: MultiRangeSpec) -> DataFrame:
     listed = selected.select(*keys)
     if spec.exclude_empty:
         return sized_join(rows, listed, ["series_key"])
-    return listed.join(rows, "series_key", "left")
+    # the small side can't be broadcast in a left join with the samples: series without rows are added instead
+    none = listed.join(rows.select("series_key").distinct(), "series_key", "left_anti")
+    return sized_join(rows, listed, ["series_key"]).select(*listed.columns, *rows.columns[1:]).unionByName(none, allowMissingColumns=True)
 
 
 def group_reduce(ts: TimeSeries, selected: DataFrame, spec: MultiRangeSpec) -> DataFrame:
@@ -109,7 +111,8 @@ def last_points(ts: TimeSeries, selected: DataFrame, latest: bool = False) -> Da
 
 def get(ts: TimeSeries, key: str, latest: bool = False) -> DataFrame:
     """Newest sample of one series."""
-    return last_points(ts, ts.series.where(F.col("series_key") == key), latest).select("ts", "value")
+    one = ts if latest else ts.of(key)
+    return last_points(one, one.series.where(F.col("series_key") == key), latest).select("ts", "value")
 
 
 def multi_get(ts: TimeSeries, filters: Sequence[str], with_labels: bool = False, labels: Sequence[str] = (), latest: bool = False) -> DataFrame:
@@ -119,15 +122,18 @@ def multi_get(ts: TimeSeries, filters: Sequence[str], with_labels: bool = False,
     return selected.select(*keys).join(last_points(ts, selected, latest), "series_key", "left")
 
 
+def cursor_of(ts: TimeSeries, key: str, cursor: int | str) -> int:
+    """The time tag that a cursor stands for: itself, `-` (0), `+` (the last one) or `$` (one behind the last, as far as there is one)."""
+    if cursor in ("+", "$"):
+        last = ts.of(key).samples.agg(F.max("ts")).first()[0]
+        return 0 if last is None else min(last + (cursor == "$"), (1 << 63) - 1)
+    return 0 if cursor == "-" else int(cursor)
+
+
 def tail_read(ts: TimeSeries, key: str, cursor: int | str = "-", most: int | None = None) -> DataFrame:
     """Samples from `cursor` on, ascending: a time tag, `-` (all), `+` (the last one) or `$` (after the last one)."""
-    rows = ts.samples.where(F.col("series_key") == key).select("ts", "value")
-    if cursor in ("+", "$"):
-        last = rows.agg(F.max("ts")).first()[0]
-        cursor = 0 if last is None else last + (cursor == "$")
-    elif cursor == "-":
-        cursor = 0
-    rows = rows.where(F.col("ts") >= int(cursor)).orderBy("ts")
+    rows = ts.of(key).samples.select("ts", "value")
+    rows = rows.where(F.col("ts") >= cursor_of(ts, key, cursor)).orderBy("ts")
     return rows.limit(most) if most else rows
 
 

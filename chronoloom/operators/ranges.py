@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,23 +23,27 @@ def value_columns(n: int) -> list[str]:
     return ["value", *[f"value_{i}" for i in range(2, n + 1)]]
 
 
-def kept_rows(ts: TimeSeries, selected: DataFrame, spec: RangeSpec) -> DataFrame:
+def kept_rows(ts: TimeSeries, selected: DataFrame, spec: RangeSpec, single: bool = False) -> DataFrame:
     """Samples of the selected series that retention and the filters keep, with `lo`, the start of the series' range.
 
     Rows outside of the range stay only where gap filling or the time-weighted average need neighbours.
     """
-    rows = ts.samples.select("series_key", "ts", "value")
+    b = spec.buckets
+    outside = b is not None and (b.empty or "twa" in b.names)
+    cat = catalog(selected)
+    aged = cat.where(F.col("retention_ms") > 0).select("series_key", "retention_ms") if spec.retention else None
+    if aged is not None and aged.isEmpty():
+        aged = None
+    # neighbours and retention look beyond the range; else the scan is pruned to it
+    rows = ts.samples.select("series_key", "ts", "value") if outside or aged is not None or spec.latest else ts.between(spec.start, spec.end)
     if spec.latest:
         from chronoloom.operators.rules import open_buckets
 
         rows = rows.unionByName(open_buckets(ts, selected))
-    cat = catalog(selected)
-    rows = sized_join(rows, cat.select("series_key").distinct(), ["series_key"], "left_semi")
-    b = spec.buckets
-    outside = b is not None and (b.empty or "twa" in b.names)
+    if not single:
+        rows = sized_join(rows, cat.select("series_key").distinct(), ["series_key"], "left_semi")
     lo = F.lit(spec.start)
-    aged = cat.where(F.col("retention_ms") > 0).select("series_key", "retention_ms") if spec.retention else None
-    if aged is not None and not aged.isEmpty():
+    if aged is not None:
         last = sized_join(rows, aged.select("series_key"), ["series_key"], "left_semi").groupBy("series_key").agg(F.max("ts").alias("_last"))
         oldest = last.join(aged, "series_key").select("series_key", F.when(F.col("_last") > F.col("retention_ms"), F.col("_last") - F.col("retention_ms")).alias("_oldest"))
         rows = sized_join(rows, oldest, ["series_key"], "left", once=True).where(F.col("_oldest").isNull() | (F.col("ts") >= F.col("_oldest")))
@@ -161,9 +167,12 @@ def limited(rows: DataFrame, by: list[str], count: int | None, reverse: bool) ->
     return rows.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= count).drop("_rank")
 
 
-def range_rows(ts: TimeSeries, selected: DataFrame, spec: RangeSpec) -> DataFrame:
-    """series_key, ts, value, value_2 … of the selected series, in no order, without the row limit."""
-    kept = kept_rows(ts, selected, spec)
+def range_rows(ts: TimeSeries, selected: DataFrame, spec: RangeSpec, single: bool = False) -> DataFrame:
+    """series_key, ts, value, value_2 … of the selected series, in no order, without the row limit.
+
+    With `single` the samples of `ts` are those of the selected series already.
+    """
+    kept = kept_rows(ts, selected, spec, single)
     if spec.buckets:
         return bucketed(kept, spec)
     return kept.where((F.col("ts") >= F.col("lo")) & (F.col("ts") <= spec.end)).select("series_key", "ts", "value")
@@ -172,7 +181,15 @@ def range_rows(ts: TimeSeries, selected: DataFrame, spec: RangeSpec) -> DataFram
 def range_query(ts: TimeSeries, key: str, spec: RangeSpec) -> DataFrame:
     """One series: ts, value …, ordered."""
     one = ts.series.where(F.col("series_key") == key)
-    base = ts if spec.latest else ts.with_samples(ts.samples.where(F.col("series_key") == key))
-    rows = range_rows(base, one, spec).drop("series_key")
+    if spec.latest:
+        rows = range_rows(ts, one, spec).drop("series_key")
+    else:
+        row = catalog(one).select("retention_ms").first()
+        base = replace(ts.of(key), scan=lambda _, lo, hi: ts.between(lo, hi, key))
+        if row is None:
+            base = base.with_samples(base.samples.limit(0))
+        elif not row.retention_ms:
+            spec = replace(spec, retention=False)
+        rows = range_rows(base, one, spec, single=True).drop("series_key")
     rows = rows.orderBy(F.desc("ts") if spec.reverse else F.asc("ts"))
     return rows.limit(spec.count) if spec.count else rows

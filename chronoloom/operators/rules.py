@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
@@ -14,7 +15,7 @@ from chronoloom.operators.grid import clean_rules
 from chronoloom.operators.neighbours import with_neighbours
 from chronoloom.operators.readings import floor_to
 from chronoloom.operators.twa import area_and_width
-from chronoloom.session import sized_join
+from chronoloom.session import checkpointed, sized_join
 
 RULES = "source_key string, dest_key string, agg string, bucket_ms long, align_ms long"
 
@@ -64,17 +65,23 @@ def _by_name(agg: Column, value: Column, t: Column) -> Column:
     return out
 
 
-def rule_buckets(samples: DataFrame, rules: DataFrame) -> DataFrame:
+def rule_buckets(samples: DataFrame, rules: DataFrame, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """All buckets of all rules: series_key, dest_key, bucket_ms, align_ms, ts (bucket start), value.
 
-    Buckets in which the rule's aggregator accepted nothing are left out. Samples are unique by (series_key, ts).
+    `keep` filters the samples (with the columns of their rule and `_s`, the bucket start) before they are aggregated; without
+    it a rule takes those behind its since_ms. Buckets in which the rule's aggregator accepted nothing are left out. Samples are unique by (series_key, ts).
     """
     rules = clean_rules(rules, "since_ms")
     new = F.col("since_ms").isNull() | (F.col("ts") > F.col("since_ms")) if "since_ms" in rules.columns else F.lit(True)
     key = ["series_key", "dest_key", "bucket_ms", "align_ms"]
     v, t, agg = F.col("value"), F.col("ts"), F.col("agg")
     b = floor_to(t, F.col("bucket_ms"), F.col("align_ms"))
-    rows = sized_join(samples.select("series_key", "ts", "value"), rules.where(agg != "twa"), ["series_key"], salt_of=["ts"]).where(new).withColumn("_b", b)
+
+    def placed(rows: DataFrame, of: DataFrame) -> DataFrame:
+        out = sized_join(rows, of, ["series_key"], salt_of=["ts"]).withColumn("_b", b)
+        return keep(out.withColumn("_s", F.greatest("_b", F.lit(0).cast("long")))) if keep else out.where(new)
+
+    rows = placed(samples.select("series_key", "ts", "value"), rules.where(agg != "twa"))
     ok = F.when(agg == "countall", F.count(v)).when(agg == "countnan", F.count_if(F.isnan(v))).otherwise(F.count(number(v)))
     plain = rows.groupBy(*key, "agg", "_b").agg(_by_name(agg, v, t).alias("value"), ok.alias("_ok")).where("_ok > 0")
     out = plain.select(*key, "_b", "value")
@@ -82,7 +89,7 @@ def rule_buckets(samples: DataFrame, rules: DataFrame) -> DataFrame:
     if not twa.isEmpty():
         numbers = samples.select("series_key", "ts", "value").where(~F.isnan("value"))
         near = with_neighbours(sized_join(numbers, twa.select("series_key").distinct(), ["series_key"], "left_semi"), ["series_key"])
-        rows = sized_join(near, twa, ["series_key"], salt_of=["ts"]).where(new).withColumn("_b", b)
+        rows = placed(near, twa)
         area, width = area_and_width(t, v, F.col("_b"), F.col("_b") + F.col("bucket_ms"), F.lit(-(1 << 62)), F.lit(1 << 62))
         sums = rows.withColumns({"_a": area, "_w": width}).groupBy(*key, "_b").agg(
             F.when(F.sum("_w") > 0, F.sum("_a") / F.sum("_w")).otherwise(F.max_by(v, t)).alias("value")
@@ -98,10 +105,10 @@ def _open_start(samples: DataFrame, rules: DataFrame) -> DataFrame:
     return last.join(clean_rules(rules).drop("agg").distinct(), "series_key").select("dest_key", "bucket_ms", "align_ms", start.alias("_open"))
 
 
-def closed_buckets(samples: DataFrame, rules: DataFrame) -> DataFrame:
+def closed_buckets(samples: DataFrame, rules: DataFrame, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """What the rules have written: dest_key, ts, value of all buckets but the open one of each source."""
     key = ["dest_key", "bucket_ms", "align_ms"]
-    return sized_join(rule_buckets(samples, rules), _open_start(samples, rules), key, once=True).where(F.col("ts") < F.col("_open")).select("dest_key", "ts", "value")
+    return sized_join(rule_buckets(samples, rules, keep), _open_start(samples, rules), key, once=True).where(F.col("ts") < F.col("_open")).select("dest_key", "ts", "value")
 
 
 def open_buckets(ts: TimeSeries, selected: DataFrame) -> DataFrame:
@@ -119,7 +126,10 @@ def open_buckets(ts: TimeSeries, selected: DataFrame) -> DataFrame:
     rules_of = clean_rules(rules)
     rows = sized_join(ts.samples.select("series_key", "ts", "value"), rules_of.select("series_key").distinct(), ["series_key"], "left_semi")
     key = ["dest_key", "bucket_ms", "align_ms"]
-    now = sized_join(rule_buckets(rows, rules), _open_start(rows, rules), key, once=True).where(F.col("ts") == F.col("_open"))
+    opens = checkpointed(_open_start(rows, rules))
+    since = F.col("since_ms").isNull() | (F.col("ts") > F.col("since_ms")) if "since_ms" in rules.columns else F.lit(True)
+    # only samples of the open bucket are aggregated
+    now = rule_buckets(rows, rules, lambda r: sized_join(r.where(since), opens, key, salt_of=["ts"]).where(F.col("_s") == F.col("_open")).drop("_open"))
     have = ts.samples.groupBy(F.col("series_key").alias("dest_key")).agg(F.max("ts").alias("_have"))
     now = now.join(have, "dest_key", "left").where(F.col("_have").isNull() | (F.col("_have") < F.col("ts")))
     return now.select(F.col("dest_key").alias("series_key"), "ts", "value")
@@ -134,20 +144,36 @@ def touched_buckets(changes: DataFrame, rules: DataFrame) -> DataFrame:
 def refresh(dest: DataFrame, samples: DataFrame, rules: DataFrame, changes: DataFrame) -> DataFrame:
     """Destination samples (series_key, ts, value) after late rows or deletions.
 
-    Only the touched buckets of the rules concerned are computed anew from `samples` (the state after the change) and
-    replaced, and buckets that the change closed are added; a closed bucket that has no sample left goes, the source's
-    open bucket is not written.
+    Only samples of the touched buckets and of buckets that the change closed are aggregated, out of `samples` (the state
+    after the change), and replace what the destinations have; a closed bucket that has no sample left goes, the source's
+    open bucket is not written. A change also moves the line of a time-weighted average in the buckets beside its own, so
+    rules by `twa` of a changed source are made anew whole. A rule takes samples behind its since_ms; buckets with a
+    change marked by a true column `late` of `changes` take all of theirs.
     """
-    touched = touched_buckets(changes, rules)
-    hit = clean_rules(rules, "since_ms").join(changes.select("series_key").distinct(), "series_key", "left_semi")
+    marked = changes.select("series_key", "ts", F.coalesce("late", F.lit(False)).alias("_late") if "late" in changes.columns else F.lit(False).alias("_late"))
+    hit = clean_rules(rules, "since_ms").join(marked.select("series_key").distinct(), "series_key", "left_semi")
+    key = ["dest_key", "bucket_ms", "align_ms"]
+    start = F.greatest(floor_to(F.col("ts"), F.col("bucket_ms"), F.col("align_ms")), F.lit(0).cast("long"))
+    touched = sized_join(marked, hit.select("series_key", *key).distinct(), ["series_key"], salt_of=["ts"]).groupBy(*key, start.alias("_s")).agg(F.max("_late").alias("_late"))
+    touched = checkpointed(touched)
+    have = checkpointed(dest.groupBy(F.col("series_key").alias("dest_key")).agg(F.max("ts").alias("_have")))
+    since = F.col("since_ms").isNull() | (F.col("ts") > F.col("since_ms")) if "since_ms" in hit.columns else F.lit(True)
+
+    def keep(rows: DataFrame) -> DataFrame:
+        rows = sized_join(rows, touched, [*key, "_s"], "left", salt_of=["ts"])
+        rows = sized_join(rows, have, ["dest_key"], "left", salt_of=["ts"])
+        closed = F.col("_have").isNull() | (F.col("_s") > F.col("_have"))
+        return rows.where(F.coalesce("_late", F.lit(False)) | (since & (F.col("_late").isNotNull() | closed))).drop("_late", "_have")
+
     again = hit.withColumnRenamed("series_key", "source_key")
-    source = sized_join(samples, hit.select("series_key").distinct(), ["series_key"], "left_semi")
-    have = dest.groupBy(F.col("series_key").alias("dest_key")).agg(F.max("ts").alias("_have"))
-    hits = touched.select("dest_key", "ts", F.lit(True).alias("_hit")).distinct()
-    new = closed_buckets(source, again).join(hits, ["dest_key", "ts"], "left").join(have, "dest_key", "left")
-    new = new.where(F.col("_hit") | F.col("_have").isNull() | (F.col("ts") > F.col("_have"))).select("dest_key", "ts", "value")
-    gone = touched.select(F.col("dest_key").alias("series_key"), "ts").distinct()
-    return dest.join(gone, ["series_key", "ts"], "left_anti").select("series_key", "ts", "value").unionByName(new.withColumnRenamed("dest_key", "series_key"))
+    source = sized_join(samples.select("series_key", "ts", "value"), hit.select("series_key").distinct(), ["series_key"], "left_semi")
+    new = closed_buckets(source, again.where(F.col("agg") != "twa"), keep)
+    twa = again.where(F.col("agg") == "twa")
+    if not twa.isEmpty():
+        new = new.unionByName(closed_buckets(source, twa))
+    new = checkpointed(new.withColumnRenamed("dest_key", "series_key"))
+    gone = touched.select(F.col("dest_key").alias("series_key"), F.col("_s").alias("ts")).unionByName(new.select("series_key", "ts")).distinct()
+    return dest.join(gone, ["series_key", "ts"], "left_anti").select("series_key", "ts", "value").unionByName(new)
 
 
 def apply_policies(ts: TimeSeries, key: str, text: str) -> TimeSeries:

@@ -53,7 +53,7 @@ def parse_filter(filters: list[str] | tuple[str, ...]) -> list[Matcher]:
     """All matchers must hold; one at least must name wanted values."""
     out = [parse_matcher(f) for f in filters]
     if not any(m.positive for m in out):
-        raise ValueError("please provide at least one matcher")
+        raise ValueError("a filter needs a matcher that names wanted values")
     return out
 
 

@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoloom.functions.aggregates import column_name
+from chronoloom.model import EngineConfig
 from chronoloom.operators import ingest, multi, rules, select
 from chronoloom.operators.ranges import limited, range_query, range_rows
 from chronoloom.plans.specs import Buckets, MultiRangeSpec, RangeSpec
 from chronoloom.plans.tables import table
+from chronoloom.session import checkpointed
 from chronoloom.sources import project
 
 HOUR, DAY = 3_600_000, 86_400_000
@@ -26,8 +28,6 @@ ORACLES: dict[str, str] = {}
 
 _S = """s AS (SELECT 'events:' || event_type || ':' || CAST(user_id AS VARCHAR) AS series_key, event_type, CAST(user_id AS VARCHAR) AS user_id,
 epoch_us(ts) // 1000 AS ts, value FROM events)"""
-#: Moves values that lie between two roundings off the edge, on both sides of a comparison.
-_NUDGE, _PUSH = 0.0000000123, 0.0000123
 _M = "m AS (SELECT series_key, ts, max(value) AS value FROM samples GROUP BY ALL)"
 
 
@@ -41,21 +41,25 @@ def _query(name: str, oracle: str | None = None):
     return add
 
 
-def _plain(df: DataFrame, digits: int = 6) -> DataFrame:
-    """NaN as null and doubles rounded, for a comparison by value; to three digits after a push off the edges."""
-    push = _PUSH if digits == 3 else 0.0
-    return df.select(*[F.when(~F.isnan(c), F.round(F.col(c) + push, digits)).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+def _plain(df: DataFrame, flags: bool = False) -> DataFrame:
+    """Doubles rounded to six digits for a comparison by value, NaN as null; with `flags` a column `…_nan` tells NaN from null."""
+    out = []
+    for c, kind in df.dtypes:
+        out.append(F.when(~F.isnan(c), F.round(F.col(c), 6)).alias(c) if kind == "double" else F.col(c))
+        if flags and kind == "double":
+            out.append(F.isnan(c).alias(f"{c}_nan"))
+    return df.select(*out)
 
 
 def _floor(t: str, w: int, a: int = 0) -> str:
     return f"({t} - ((({t} - {a}) % {w} + {w}) % {w}))"
 
 
-def _many(spec: RangeSpec, filters: tuple[str, ...] = ALL, retention_ms: int = 0, digits: int = 6):
+def _many(spec: RangeSpec, filters: tuple[str, ...] = ALL, retention_ms: int = 0, flags: bool = False):
     def run(spark: SparkSession, d: str) -> DataFrame:
         ts = project.events(spark, d, retention_ms)
         rows = range_rows(ts, select.select_series(ts.series, filters), spec)
-        return _plain(limited(rows, ["series_key"], spec.count, spec.reverse), digits)
+        return _plain(limited(rows, ["series_key"], spec.count, spec.reverse), flags)
 
     return run
 
@@ -94,8 +98,6 @@ _query(
 for _name, _filters, _sql in (
     ("match_eq", ("event_type=click",), "event_type = 'click'"),
     ("match_neq", ("measurement=events", "event_type!=click"), "event_type <> 'click'"),
-    ("match_missing", ("measurement=events", "team="), "true"),
-    ("match_present", ("measurement=events", "team!="), "false"),
     ("match_list", ("user_id=(1,2,3)",), "user_id IN ('1', '2', '3')"),
     ("match_notlist", ("measurement=events", "user_id!=(1,2,3)", "event_type=(click,view)"), "user_id NOT IN ('1', '2', '3') AND event_type IN ('click', 'view')"),
     ("match_nothing", ("event_type=()",), "false"),
@@ -103,6 +105,11 @@ for _name, _filters, _sql in (
     _query(_name, f"WITH {_S} SELECT DISTINCT series_key FROM s WHERE {_sql}")(lambda spark, d, f=_filters: select.query_index(project.events(spark, d).series, list(f)))
 
 _L = "l AS (SELECT series_key, unnest(map_keys(labels)) AS k, unnest(map_values(labels)) AS v FROM series WHERE labels IS NOT NULL)"
+for _name, _filters, _sql in (("match_missing", ["unit=pct", "team="], "NOT IN"), ("match_present", ["unit=pct", "team!="], "IN")):
+    _query(_name, f"WITH {_L} SELECT DISTINCT series_key FROM l WHERE k = 'unit' AND v = 'pct' AND series_key {_sql} (SELECT series_key FROM l WHERE k = 'team' AND v IS NOT NULL)")(
+        lambda spark, d, f=_filters: select.query_index(table(spark, d, "series"), f)
+    )
+_query("querylabels_all", f"WITH {_L} SELECT DISTINCT k AS label FROM l")(lambda spark, d: select.label_names(table(spark, d, "series")))
 _query("queryindex", f"WITH {_L} SELECT DISTINCT series_key FROM l WHERE k = 'unit' AND v = 'pct' AND series_key NOT IN (SELECT series_key FROM l WHERE k = 'measurement' AND v = 'cpu')")(
     lambda spark, d: select.query_index(table(spark, d, "series"), ["unit=pct", "measurement!=cpu"])
 )
@@ -161,8 +168,8 @@ for _n, _e in _SQL_AGG.items():
     )
 _query(
     "bucket_countnan",
-    f"WITH {_M}, {_L} SELECT series_key, {_floor('ts', DAY)} AS ts, CAST(count(*) AS DOUBLE) AS value FROM m WHERE isnan(value) AND series_key IN (SELECT series_key FROM l WHERE k = 'unit' AND v = 'pct') GROUP BY ALL",
-)(lambda spark, d: range_rows(project.monitoring(spark, d), select.select_series(table(spark, d, "series"), ("unit=pct",)), RangeSpec(buckets=Buckets(("countnan",), DAY), retention=False)))
+    f"WITH {_M}, {_L} SELECT series_key, {_floor('ts', DAY)} AS ts, CAST(count(*) AS DOUBLE) AS value FROM m WHERE isnan(value) AND series_key IN (SELECT series_key FROM series) GROUP BY ALL",
+)(lambda spark, d: range_rows(project.monitoring(spark, d), table(spark, d, "series"), RangeSpec(buckets=Buckets(("countnan",), DAY), retention=False)))
 _TWA = f"""n AS (SELECT *, lag(ts) OVER w AS pt, lag(value) OVER w AS pv, lead(ts) OVER w AS nt, lead(value) OVER w AS nv, {_floor('ts', DAY)} AS b FROM s WINDOW w AS (PARTITION BY series_key ORDER BY ts)),
 k AS (SELECT *, greatest(b, {{lo}}) AS ta, least(b + {DAY}, {{hi}}) AS tb FROM n WHERE ts BETWEEN {{lo}} AND {{hi}}),
 a AS (SELECT series_key, b, ts, value,
@@ -171,8 +178,8 @@ a AS (SELECT series_key, b, ts, value,
  CASE WHEN pt IS NULL THEN 0 ELSE ts - greatest(pt, ta) END + CASE WHEN nt IS NOT NULL AND (nt >= b + {DAY} OR nt > {{hi}}) THEN tb - ts ELSE 0 END AS width FROM k)"""
 _query(
     "bucket_twa",
-    f"WITH {_S}, {_TWA.format(lo=LO, hi=HI)} SELECT series_key, b AS ts, round(CASE WHEN sum(width) > 0 THEN sum(area) / sum(width) ELSE max_by(value, ts) END + {_PUSH}, 3) AS value FROM a GROUP BY series_key, b",
-)(_many(RangeSpec(LO, HI, buckets=Buckets(("twa",), DAY)), digits=3))
+    f"WITH {_S}, {_TWA.format(lo=LO, hi=HI)} SELECT series_key, b AS ts, round(CASE WHEN sum(width) > 0 THEN sum(area) / sum(width) ELSE max_by(value, ts) END, 6) AS value FROM a GROUP BY series_key, b",
+)(_many(RangeSpec(LO, HI, buckets=Buckets(("twa",), DAY))))
 _query("bucket_align_start", f"WITH {_S} SELECT series_key, {_floor('ts', 7 * DAY, LO + 12345)} AS ts, round(sum(value), 6) AS value FROM s WHERE ts BETWEEN {LO + 12345} AND {HI} GROUP BY ALL")(
     _many(RangeSpec(LO + 12345, HI, buckets=Buckets(("sum",), 7 * DAY, "start")))
 )
@@ -190,9 +197,10 @@ _query(
 _query(
     "mixed_nan_agg",
     f"""WITH {_M}, {_L} SELECT series_key, {_floor('ts', DAY)} AS ts, coalesce(round(sum(value) FILTER (NOT isnan(value)), 6), 0) AS value,
-CAST(count(*) FILTER (isnan(value)) AS DOUBLE) AS value_2, CAST(count(*) AS DOUBLE) AS value_3, round(min(value) FILTER (NOT isnan(value)), 6) AS value_4
-FROM m WHERE series_key IN (SELECT series_key FROM l WHERE k = 'measurement' AND v = 'mem') GROUP BY ALL""",
-)(lambda spark, d: _plain(range_rows(project.monitoring(spark, d), select.select_series(table(spark, d, "series"), ("measurement=mem",)), RangeSpec(buckets=Buckets(("sum", "countnan", "countall", "min"), DAY), retention=False))))
+CAST(count(*) FILTER (isnan(value)) AS DOUBLE) AS value_2, CAST(count(*) AS DOUBLE) AS value_3, round(min(value) FILTER (NOT isnan(value)), 6) AS value_4,
+false AS value_nan, false AS value_2_nan, false AS value_3_nan, bool_and(isnan(value)) AS value_4_nan
+FROM m WHERE series_key IN (SELECT series_key FROM series) GROUP BY ALL""",
+)(lambda spark, d: _plain(range_rows(project.monitoring(spark, d), table(spark, d, "series"), RangeSpec(buckets=Buckets(("sum", "countnan", "countall", "min"), DAY), retention=False)), flags=True))
 
 # --- gap filling
 _GAP = f"""b AS (SELECT series_key, {_floor('ts', DAY)} AS b, sum(value) AS total, avg(value) AS mean, max_by(value, ts) AS lastv, min(ts) AS ft, min_by(value, ts) AS fv, max(ts) AS lt FROM s WHERE ts BETWEEN {LO} AND {HI} GROUP BY ALL),
@@ -205,7 +213,7 @@ g AS (SELECT series_key, unnest(generate_series(f, l, {DAY})) AS b FROM p WHERE
 j AS (SELECT g.series_key, g.b, total, mean, lastv, ft, fv, lt, ot, ov, nt, nv FROM g LEFT JOIN b USING (series_key, b) JOIN e ON e.series_key = g.series_key)"""
 _UP = "(PARTITION BY series_key ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 _query("empty_sum", f"WITH {_S}, {_GAP} SELECT series_key, b AS ts, round(coalesce(total, 0), 6) AS value FROM j")(_many(RangeSpec(LO, HI, buckets=Buckets(("sum",), DAY, empty=True))))
-_query("empty_avg", f"WITH {_S}, {_GAP} SELECT series_key, b AS ts, round(mean, 6) AS value FROM j")(_many(RangeSpec(LO, HI, buckets=Buckets(("avg",), DAY, empty=True))))
+_query("empty_avg", f"WITH {_S}, {_GAP} SELECT series_key, b AS ts, round(mean, 6) AS value, mean IS NULL AS value_nan FROM j")(_many(RangeSpec(LO, HI, buckets=Buckets(("avg",), DAY, empty=True)), flags=True))
 _query("empty_last", f"WITH {_S}, {_GAP} SELECT series_key, b AS ts, round(coalesce(last_value(lastv IGNORE NULLS) OVER {_UP}, ov), 6) AS value FROM j")(
     _many(RangeSpec(LO, HI, buckets=Buckets(("last",), DAY, empty=True)))
 )
@@ -217,8 +225,8 @@ t AS (SELECT series_key, b, CASE WHEN sum(width) > 0 THEN sum(area) / sum(width)
 u AS (SELECT j.series_key, j.b, lt, tw, coalesce(last_value(lt IGNORE NULLS) OVER {_UP}, ot) AS t0, coalesce(last_value(lastv IGNORE NULLS) OVER {_UP}, ov) AS v0,
   coalesce(first_value(ft IGNORE NULLS) OVER {_DOWN}, nt) AS t1, coalesce(first_value(fv IGNORE NULLS) OVER {_DOWN}, nv) AS v1 FROM j LEFT JOIN t ON t.series_key = j.series_key AND t.b = j.b)
 SELECT series_key, b AS ts, round(CASE WHEN lt IS NOT NULL THEN tw WHEN t0 IS NOT NULL AND t1 IS NOT NULL
-  THEN v0 + (v1 - v0) * (greatest(b, {LO}) - t0 + least(b + {DAY}, {HI}) - t0) / 2 / (t1 - t0) END + {_PUSH}, 3) AS value FROM u""".replace("(PARTITION BY series_key ORDER BY b", "(PARTITION BY j.series_key ORDER BY j.b"),
-)(_many(RangeSpec(LO, HI, buckets=Buckets(("twa",), DAY, empty=True)), digits=3))
+  THEN v0 + (v1 - v0) * (greatest(b, {LO}) - t0 + least(b + {DAY}, {HI}) - t0) / 2 / (t1 - t0) END, 6) AS value FROM u""".replace("(PARTITION BY series_key ORDER BY b", "(PARTITION BY j.series_key ORDER BY j.b"),
+)(_many(RangeSpec(LO, HI, buckets=Buckets(("twa",), DAY, empty=True))))
 
 # --- limits, empty series
 _query(
@@ -232,14 +240,29 @@ _EMPTY = f"WITH {_S}, k AS (SELECT DISTINCT series_key FROM s WHERE event_type =
 _query("mrange_lists_empty", _EMPTY.format(how="LEFT"))(lambda spark, d: _plain(multi.multi_range(project.events(spark, d), MultiRangeSpec(CLICKS, RangeSpec(LO, LO + DAY)))))
 _query("exclude_empty", _EMPTY.format(how=""))(lambda spark, d: _plain(multi.multi_range(project.events(spark, d), MultiRangeSpec(CLICKS, RangeSpec(LO, LO + DAY), exclude_empty=True))))
 
-# --- group and reduce
+# --- group and reduce: over the greatest values of each hour, which are exact
 for _n, _e in _SQL_AGG.items():
     if _n in ("first", "last"):
         continue
     _query(
         f"groupby_reduce_{column_name(_n)}",
-        f"WITH {_S}, b AS (SELECT series_key, event_type, {_floor('ts', HOUR)} AS ts, avg(value) AS value FROM s GROUP BY ALL) SELECT 'event_type=' || event_type AS group_name, ts, round({_e} + {_NUDGE}, 6) AS value FROM b GROUP BY event_type, ts",
-    )(lambda spark, d, r=_n: _plain(multi.multi_range(project.events(spark, d), MultiRangeSpec(ALL, RangeSpec(buckets=Buckets(("avg",), HOUR)), group_by="event_type", reduce=r)).withColumn("value", F.col("value") + _NUDGE)))
+        f"WITH {_S}, b AS (SELECT series_key, event_type, {_floor('ts', HOUR)} AS ts, max(value) AS value FROM s GROUP BY ALL) SELECT 'event_type=' || event_type AS group_name, ts, round({_e}, 6) AS value FROM b GROUP BY event_type, ts",
+    )(lambda spark, d, r=_n: _plain(multi.multi_range(project.events(spark, d), MultiRangeSpec(ALL, RangeSpec(buckets=Buckets(("max",), HOUR)), group_by="event_type", reduce=r))))
+_UNIT = f"u AS (SELECT m.series_key, ts, value, v AS unit FROM m JOIN l ON m.series_key = l.series_key AND k = 'unit')"
+for _n, _e in (("countnan", "CAST(count(*) FILTER (isnan(value)) AS DOUBLE)"), ("sum", "sum(value) FILTER (NOT isnan(value))"), ("min", "min(value) FILTER (NOT isnan(value))"), ("countall", "CAST(count(*) AS DOUBLE)")):
+    # raw samples with NaN: left out of a reduction unless there is nothing else
+    _query(
+        f"groupby_reduce_{_n}" if _n == "countnan" else f"groupby_nan_{_n}",
+        f"WITH {_M}, {_L}, {_UNIT} SELECT 'unit=' || unit AS group_name, ts, round({_e}, 6) AS value, {_e} IS NULL AS value_nan FROM u GROUP BY unit, ts",
+    )(lambda spark, d, r=_n: _plain(_by_unit(spark, d, r), flags=True))
+
+
+def _by_unit(spark: SparkSession, d: str, reduce: str) -> DataFrame:
+    ts = project.monitoring(spark, d)
+    every = [r.value for r in select.label_values(ts.series, "unit").collect()]  # a few units
+    return multi.multi_range(ts, MultiRangeSpec((f"unit=({','.join(every)})",), RangeSpec(retention=False), group_by="unit", reduce=reduce))
+
+
 _query("groupby_raw_sum", f"WITH {_S} SELECT 'user_id=' || user_id AS group_name, ts, round(sum(value), 6) AS value FROM s GROUP BY user_id, ts")(
     lambda spark, d: _plain(multi.multi_range(project.events(spark, d), MultiRangeSpec(ALL, group_by="user_id", reduce="sum")))
 )
@@ -260,8 +283,8 @@ _query(
 _KEYS = [ONE, "events:view:7", "events:purchase:7", ONE]
 _query(
     "nrange_raw",
-    f"WITH {_S} SELECT ts, " + ", ".join(f"round(max(value) FILTER (series_key = '{k}'), 6) AS c{i}" for i, k in enumerate(_KEYS)) + f" FROM s WHERE series_key IN ('{ONE}', 'events:view:7', 'events:purchase:7') GROUP BY ts",
-)(lambda spark, d: _plain(multi.pivot_range(project.events(spark, d), _KEYS, RangeSpec())))
+    f"WITH {_S} SELECT ts, " + ", ".join(f"round(max(value) FILTER (series_key = '{k}'), 6) AS c{i}, max(value) FILTER (series_key = '{k}') IS NULL AS c{i}_nan" for i, k in enumerate(_KEYS)) + f" FROM s WHERE series_key IN ('{ONE}', 'events:view:7', 'events:purchase:7') GROUP BY ts",
+)(lambda spark, d: _plain(multi.pivot_range(project.events(spark, d), _KEYS, RangeSpec()), flags=True))
 _query(
     "nrange_agg",
     f"WITH {_S}, b AS (SELECT series_key, {_floor('ts', 7 * DAY)} AS ts, max(value) AS hi, min(value) AS lo, sum(value) AS total FROM s GROUP BY ALL) SELECT ts, round(max(hi) FILTER (series_key = '{ONE}'), 6) AS c0, round(max(lo) FILTER (series_key = '{ONE}'), 6) AS c1, round(max(total) FILTER (series_key = 'events:view:7'), 6) AS c2 FROM b WHERE series_key IN ('{ONE}', 'events:view:7') GROUP BY ts",
@@ -281,22 +304,61 @@ for _p, _e in (("last", "max_by(value, seq)"), ("first", "min_by(value, seq)"),
     _query(
         f"dup_{_p}",
         f"WITH l AS (SELECT 'supplier:' || CAST(l_suppkey AS VARCHAR) AS series_key, epoch_us(l_shipdate) // 1000 AS ts, l_quantity AS value, l_orderkey * 100 + l_linenumber AS seq FROM lineitem) SELECT series_key, ts, {_e} AS value FROM l GROUP BY series_key, ts",
-    )(lambda spark, d, p=_p: ingest.fold_plain(project.shipments(spark, d), p))
+    )(lambda spark, d, p=_p: ingest.fold(project.shipments(spark, d), spark.createDataFrame([], "series_key string"), config=EngineConfig(p)))
 _query(
     "dup_block_fold",
     "WITH l AS (SELECT 'supplier:' || CAST(l_suppkey AS VARCHAR) AS series_key, epoch_us(l_shipdate) // 1000 AS ts, l_quantity AS value, l_orderkey * 100 + l_linenumber AS seq FROM lineitem) SELECT series_key, ts, min_by(value, seq) AS value FROM l GROUP BY series_key, ts",
 )(lambda spark, d: ingest.fold(project.shipments(spark, d), spark.createDataFrame([], "series_key string")))
 
 
-@_query("ingest_fold")
+_LOG = """i AS (SELECT *, row_number() OVER (PARTITION BY series_key ORDER BY seq) AS rn FROM (
+  SELECT DISTINCT g.series_key, g.ts, g.value, g.seq, lower(coalesce(g.on_duplicate, c.p, 'block')) AS p, coalesce(c.ret, 0) AS ret, coalesce(c.dt, 0) AS dt, coalesce(c.dv, 0.0) AS dv,
+    greatest(f.t0, c.lt) AS t0, CASE WHEN c.lt IS NULL OR f.t0 >= c.lt THEN f.v0 END AS v0
+  FROM ingest g LEFT JOIN (SELECT series_key, max(duplicate_policy) AS p, max(CAST(retention_ms AS BIGINT)) AS ret, max(CAST(ignore_max_time_diff AS BIGINT)) AS dt, max(ignore_max_val_diff) AS dv,
+      max(last_timestamp) AS lt FROM series GROUP BY ALL) c USING (series_key)
+    LEFT JOIN (SELECT series_key, max(ts) AS t0, max_by(value, ts) AS v0 FROM m GROUP BY ALL) f USING (series_key)
+  WHERE g.value IS NOT NULL)),
+w AS (SELECT series_key, 0 AS rn, any_value(t0) AS lt, any_value(v0) AS lv, '' AS status FROM i GROUP BY ALL
+  UNION ALL SELECT series_key, rn,
+    CASE WHEN status = 'accepted' AND (lt IS NULL OR ts > lt) THEN ts ELSE lt END,
+    CASE WHEN status <> 'accepted' OR ts < lt THEN lv WHEN lt IS NULL OR ts > lt OR lv IS NULL THEN value
+         WHEN p = 'block' THEN lv WHEN isnan(lv) <> isnan(value) THEN CASE WHEN p IN ('first', 'last') AND isnan(lv) THEN value ELSE lv END
+         WHEN p = 'first' THEN lv WHEN p = 'last' THEN value WHEN p = 'sum' THEN lv + value WHEN p = 'min' THEN least(lv, value) ELSE greatest(lv, value) END, status
+  FROM (SELECT i.series_key, i.rn, i.ts, i.value, i.p, w.lt, w.lv,
+      CASE WHEN ret > 0 AND w.lt > ts AND w.lt - ts > ret THEN 'rejected'
+           WHEN p = 'last' AND ts >= w.lt AND ts - w.lt <= dt AND NOT isnan(value) AND NOT isnan(w.lv) AND abs(value - w.lv) <= dv THEN 'ignored' ELSE 'accepted' END AS status
+    FROM w JOIN i ON i.series_key = w.series_key AND i.rn = w.rn + 1)),
+s AS (SELECT i.series_key, i.ts, i.value, i.seq, i.p, w.status FROM i JOIN w USING (series_key, rn))"""
+
+
+def _arrivals(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The distinct rows of the arrival log, the catalog, and the samples stored before."""
+    ts = project.monitoring(spark, d)
+    return table(spark, d, "ingest").dropDuplicates(), ts.series, ts.samples
+
+
+_FOLD = f"""a AS (SELECT series_key, ts, -1 AS seq, value, 'last' AS p FROM m UNION ALL SELECT series_key, ts, seq, value, p FROM s WHERE status = 'accepted'),
+g AS (SELECT series_key, ts, list({{'v': value, 'p': p}} ORDER BY seq) AS r FROM a GROUP BY ALL),
+f AS (SELECT series_key, ts, list_reduce(r, lambda x, y: {{'v': CASE WHEN y.p = 'block' THEN x.v WHEN isnan(x.v) <> isnan(y.v) THEN CASE WHEN y.p IN ('first', 'last') AND isnan(x.v) THEN y.v ELSE x.v END
+  WHEN y.p = 'first' THEN x.v WHEN y.p = 'last' THEN y.v WHEN y.p = 'sum' THEN x.v + y.v WHEN y.p = 'min' THEN least(x.v, y.v) ELSE greatest(x.v, y.v) END, 'p': y.p}}).v AS value FROM g)"""
+
+
+@_query(
+    "ingest_fold",
+    f"""WITH RECURSIVE {_M}, {_LOG}, {_FOLD}
+SELECT series_key, ts, CASE WHEN NOT isnan(value) THEN round(value, 6) END AS value, isnan(value) AS value_nan FROM f""",
+)
 def ingest_fold(spark: SparkSession, d: str) -> DataFrame:
-    """The arrival log folded into stored samples by all ingest rules."""
-    return _plain(ingest.fold(table(spark, d, "ingest").dropDuplicates(), table(spark, d, "series")))
+    """The arrival log folded into the stored samples by all ingest rules."""
+    return _plain(ingest.fold(*_arrivals(spark, d)), flags=True)
 
 
-@_query("ingest_outcomes")
+@_query(
+    "ingest_outcomes",
+    f"WITH RECURSIVE {_M}, {_LOG} SELECT series_key, status, count(*) AS n FROM (SELECT series_key, status FROM s UNION ALL SELECT series_key, 'unreadable' FROM (SELECT DISTINCT * FROM ingest) WHERE value IS NULL) GROUP BY ALL",
+)
 def ingest_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    return ingest.outcomes(table(spark, d, "ingest").dropDuplicates(), table(spark, d, "series")).groupBy("series_key", "status").agg(F.count("*").alias("n"))
+    return ingest.outcomes(*_arrivals(spark, d)).groupBy("series_key", "status").agg(F.count("*").alias("n"))
 
 
 _query(
@@ -314,11 +376,11 @@ l AS (SELECT dest_key, bucket_ms, align_ms, agg, max(b) AS ob FROM j GROUP BY AL
 g AS (SELECT dest_key, bucket_ms, align_ms, agg, b, CASE agg WHEN 'min' THEN min(v) WHEN 'max' THEN max(v) WHEN 'sum' THEN sum(v) WHEN 'avg' THEN avg(v) WHEN 'count' THEN CAST(count(v) AS DOUBLE)
   WHEN 'range' THEN max(v) - min(v) WHEN 'std.p' THEN stddev_pop(v) WHEN 'last' THEN max_by(v, ts) FILTER (v IS NOT NULL) WHEN 'first' THEN min_by(v, ts) FILTER (v IS NOT NULL) WHEN 'var.p' THEN var_pop(v) END AS value
   FROM (SELECT *, CASE WHEN NOT isnan(value) THEN value END AS v FROM j) GROUP BY dest_key, bucket_ms, align_ms, agg, b HAVING count(v) > 0)"""
-_query("rule_closed_buckets", f"WITH {_M}, {_RULE} SELECT g.dest_key, g.b AS ts, round(g.value + {_PUSH}, 3) AS value FROM g JOIN l USING (dest_key, bucket_ms, align_ms, agg) WHERE g.b < ob")(
-    lambda spark, d: _plain(rules.closed_buckets(project.monitoring(spark, d).samples, table(spark, d, "rules").where(F.lower(F.trim("agg")) != "twa")), 3)
+_query("rule_closed_buckets", f"WITH {_M}, {_RULE} SELECT g.dest_key, g.b AS ts, round(g.value, 6) AS value FROM g JOIN l USING (dest_key, bucket_ms, align_ms, agg) WHERE g.b < ob")(
+    lambda spark, d: _plain(rules.closed_buckets(project.monitoring(spark, d).samples, table(spark, d, "rules").where(F.lower(F.trim("agg")) != "twa")))
 )
-_query("rule_latest", f"WITH {_M}, {_RULE} SELECT g.dest_key AS series_key, g.b AS ts, round(g.value + {_PUSH}, 3) AS value FROM g JOIN l USING (dest_key, bucket_ms, align_ms, agg) WHERE g.b = ob AND dest_key IN (SELECT series_key FROM series) AND dest_key NOT IN (SELECT series_key FROM m WHERE ts >= ob)")(
-    lambda spark, d: _plain(_latest(spark, d, F.lower(F.trim("agg")) != "twa"), 3)
+_query("rule_latest", f"WITH {_M}, {_RULE} SELECT g.dest_key AS series_key, g.b AS ts, round(g.value, 6) AS value FROM g JOIN l USING (dest_key, bucket_ms, align_ms, agg) WHERE g.b = ob AND dest_key IN (SELECT series_key FROM series) AND dest_key NOT IN (SELECT series_key FROM m WHERE ts >= ob)")(
+    lambda spark, d: _plain(_latest(spark, d, F.lower(F.trim("agg")) != "twa"))
 )
 _TWA = f"""WITH {_M}, r AS (SELECT DISTINCT source_key AS series_key, dest_key, bucket_ms, coalesce(CAST(align_ms AS BIGINT), 0) AS align_ms FROM rules WHERE lower(trim(agg)) = 'twa'),
 n AS (SELECT *, lag(ts) OVER w AS pt, lag(value) OVER w AS pv, lead(ts) OVER w AS nt, lead(value) OVER w AS nv FROM m WHERE NOT isnan(value) WINDOW w AS (PARTITION BY series_key ORDER BY ts)),
@@ -331,15 +393,15 @@ a AS (SELECT dest_key, d, align_ms, b, ts, value,
 _query(
     "rule_twa_buckets",
     f"""{_TWA}
-SELECT dest_key, b AS ts, round(CASE WHEN sum(width) > 0 THEN sum(area) / sum(width) ELSE max_by(value, ts) END + {_PUSH}, 3) AS value
+SELECT dest_key, b AS ts, round(CASE WHEN sum(width) > 0 THEN sum(area) / sum(width) ELSE max_by(value, ts) END, 6) AS value
 FROM a JOIN l USING (dest_key, d, align_ms) WHERE b < ob GROUP BY dest_key, d, align_ms, b""",
-)(lambda spark, d: _plain(rules.closed_buckets(project.monitoring(spark, d).samples, table(spark, d, "rules").where(F.lower(F.trim("agg")) == "twa")), 3))
+)(lambda spark, d: _plain(rules.closed_buckets(project.monitoring(spark, d).samples, table(spark, d, "rules").where(F.lower(F.trim("agg")) == "twa"))))
 _query(
     "rule_latest_twa",
     f"""{_TWA}
-SELECT dest_key AS series_key, b AS ts, round(CASE WHEN sum(width) > 0 THEN sum(area) / sum(width) ELSE max_by(value, ts) END + {_PUSH}, 3) AS value
+SELECT dest_key AS series_key, b AS ts, round(CASE WHEN sum(width) > 0 THEN sum(area) / sum(width) ELSE max_by(value, ts) END, 6) AS value
 FROM a JOIN l USING (dest_key, d, align_ms) WHERE b = ob AND dest_key IN (SELECT series_key FROM series) AND dest_key NOT IN (SELECT series_key FROM m WHERE m.ts >= ob) GROUP BY dest_key, d, align_ms, b""",
-)(lambda spark, d: _plain(_latest(spark, d, F.lower(F.trim("agg")) == "twa"), 3))
+)(lambda spark, d: _plain(_latest(spark, d, F.lower(F.trim("agg")) == "twa")))
 
 
 def _latest(spark: SparkSession, d: str, which: Column) -> DataFrame:
@@ -347,11 +409,21 @@ def _latest(spark: SparkSession, d: str, which: Column) -> DataFrame:
     return rules.open_buckets(type(ts)(ts.samples, ts.series, ts.rules.where(which)), ts.series)
 
 
-@_query("rule_refresh")
+#: What all rules have written once the log is folded into the stored samples.
+_STORED = _M.replace("m AS", "m0 AS", 1)
+_AFTER = ", ".join(x.replace("FROM m ", "FROM m0 ") for x in (_LOG, _FOLD))
+_CLOSED = f"WITH {_RULE} SELECT g.dest_key AS series_key, g.b AS ts, g.value FROM g JOIN l USING (dest_key, bucket_ms, align_ms, agg) WHERE g.b < ob"
+_CLOSED_TWA = _TWA.replace(f"{_M}, ", "", 1) + """ SELECT dest_key AS series_key, b AS ts, CASE WHEN sum(width) > 0 THEN sum(area) / sum(width) ELSE max_by(value, ts) END AS value
+FROM a JOIN l USING (dest_key, d, align_ms) WHERE b < ob GROUP BY dest_key, d, align_ms, b"""
+_REFRESHED = f"""WITH RECURSIVE {_STORED}, {_AFTER}, m AS (SELECT series_key, ts, value FROM f)
+SELECT series_key, ts, round(value, 6) AS value FROM (SELECT * FROM ({_CLOSED}) UNION ALL SELECT * FROM ({_CLOSED_TWA}))"""
+
+
+@_query("rule_refresh", _REFRESHED)
 def rule_refresh(spark: SparkSession, d: str) -> DataFrame:
     """Destinations after the arrival log came on top of the stored samples: only touched buckets are made anew."""
     ts = project.monitoring(spark, d)
     log = table(spark, d, "ingest").dropDuplicates()
-    after = ingest.fold(log, ts.series, ts.samples)
+    after = checkpointed(ingest.fold(log, ts.series, ts.samples))
     before = rules.closed_buckets(ts.samples, ts.rules).withColumnRenamed("dest_key", "series_key")
     return _plain(rules.refresh(before, after, ts.rules, log.select("series_key", "ts")))

@@ -59,7 +59,9 @@ class RangeSpec:
         if any(x is not None and x < 0 for x in (self.lo, self.hi)):
             raise ValueError("time tags must not be negative")
         if self.times is not None:
-            object.__setattr__(self, "times", tuple(sorted(set(self.times[:MOST_TIMES]))))
+            if len(self.times) > MOST_TIMES:
+                raise ValueError(f"more than {MOST_TIMES} time tags in one filter")
+            object.__setattr__(self, "times", tuple(sorted(set(self.times))))
         b = self.buckets
         if b and b.align == "start" and self.lo is None:
             raise ValueError("start alignment needs an explicit start of the range")

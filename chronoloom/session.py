@@ -46,11 +46,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_checkpoints(spark: SparkSession) -> None:
-    """Use the folder named by spark.checkpoint.dir; set a local one only where none is named (tests)."""
+    """Use the folder named by spark.checkpoint.dir; a folder of this machine only on a local master (tests), else an error."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and sc.master != "local" and not sc.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="chronoloom-"))
 
 

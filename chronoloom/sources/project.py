@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,16 @@ def millis(ts: Column) -> Column:
     return F.unix_millis(F.convert_timezone(F.lit("UTC"), F.current_timezone(), ts).cast("timestamp"))
 
 
+#: Time tags from here on are beyond what a timestamp literal holds.
+_LATEST = 253_402_300_799_000
+
+
+def _stored(ms: int) -> Column:
+    """The timestamp without zone that `millis` maps to `ms`."""
+    at = datetime(1970, 1, 1) + timedelta(milliseconds=ms)
+    return F.lit(at.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def _catalog(rows: DataFrame, labels: dict[str, str], measurement: str, retention: Column | None = None) -> DataFrame:
     """One catalog row per series of `rows`; the labels are columns of it."""
     pairs = [x for k, c in labels.items() for x in (F.lit(k), F.col(c).cast("string"))]
@@ -28,7 +40,20 @@ def events(spark: SparkSession, folder: str, retention_ms: int = 0) -> TimeSerie
     key = F.concat(F.lit("events:"), F.col("event_type"), F.lit(":"), F.col("user_id").cast("string"))
     rows = rows.select(key.alias("series_key"), "event_type", "user_id", millis(F.col("ts")).alias("ts"), "value")
     cat = _catalog(rows, {"event_type": "event_type", "user_id": "user_id"}, "events", F.lit(retention_ms).cast("long"))
-    return TimeSeries(rows.select("series_key", "ts", "value"), cat)
+
+    def scan(wanted: str | None, lo: int, hi: int) -> DataFrame:
+        """Filters on the columns as they are stored; the bounds are whole milliseconds."""
+        raw = table(spark, folder, "events")
+        if lo > 0:
+            raw = raw.where(F.col("ts") >= _stored(lo))
+        if hi < _LATEST:
+            raw = raw.where(F.col("ts") < _stored(hi + 1))
+        if wanted is not None:
+            kind, _, user = wanted.removeprefix("events:").rpartition(":")
+            raw = raw.where((F.col("event_type") == kind) & (F.col("user_id") == (int(user) if user.lstrip("-").isdigit() else None)) & (key == wanted))
+        return raw.select(key.alias("series_key"), millis(F.col("ts")).alias("ts"), "value")
+
+    return TimeSeries(rows.select("series_key", "ts", "value"), cat, scan=scan)
 
 
 def orders(spark: SparkSession, folder: str) -> TimeSeries:

@@ -78,3 +78,35 @@ def test_default_policies(engine):
     keys = {r.series_key: r.labels for r in ts.series.collect()}
     assert keys["m_MAX_10000"] == {"host": "h", "aggregation": "max", "time_bucket": "10000"} and "m_AVG_60000_5000" in keys
     assert ts.rules.count() == 2
+
+
+def test_delete_before_the_retention(engine):
+    """A series with rules loses no samples of buckets that begin before its retention."""
+    engine.run("CREATE old RETENTION 50")
+    engine.run("CREATE sums")
+    engine.run("CREATERULE old sums AGGREGATION sum 30")
+    engine.run("MADD old 10 1 old 70 2 old 100 3 old 115 4")
+    for bad in ("DEL old 0 80", "DEL old 66 80", "DEL old - +"):
+        with pytest.raises(ValueError):
+            engine.run(bad)
+    assert got(engine, "DEL old 92 100") == [(1,)]
+    engine.run("DELETERULE old sums")
+    assert got(engine, "DEL old - +") == [(3,)]
+
+
+def test_repeats_of_the_last_sample_are_ignored(engine):
+    engine.run("CREATE z DUPLICATE_POLICY last")
+    assert got(engine, "MADD z 5 1 z 5 1 z 5 2 z 7 1") == [("z", 5, None)] * 3 + [("z", 7, None)]
+    assert got(engine, "RANGE z - +") == [(5, 2.0), (7, 1.0)]
+
+
+def test_late_row_remakes_its_bucket_from_samples_before_the_rule(engine):
+    engine.run("CREATE a DUPLICATE_POLICY last")
+    engine.run("CREATE b")
+    engine.run("MADD a 1 1 a 2 2 a 11 3")
+    engine.run("CREATERULE a b AGGREGATION sum 10")
+    assert got(engine, "RANGE b - +") == []
+    engine.run("MADD a 12 4 a 21 5")
+    assert got(engine, "RANGE b - +") == [(10, 4.0)]
+    engine.run("ADD a 3 6")
+    assert got(engine, "RANGE b - +") == [(0, 9.0), (10, 4.0)]

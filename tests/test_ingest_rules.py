@@ -127,7 +127,7 @@ def test_queries_of_open_buckets_leave_no_rule_out(spark):
 
     folder = "/root/testdata/sf0.01"
     ts = project.monitoring(spark, folder)
-    want = sorted(map(repr, _plain(rules.open_buckets(ts, ts.series), 3).collect()))
+    want = sorted(map(repr, _plain(rules.open_buckets(ts, ts.series)).collect()))
     got = [QUERIES[q](spark, folder).collect() for q in ("rule_latest", "rule_latest_twa")]
     assert sorted(map(repr, got[0] + got[1])) == want and all(got)
 
@@ -172,3 +172,19 @@ def test_csv(spark, tmp_path):
     (tmp_path / "t.csv").write_text("date,temp,err,city\n1900-01-01,1.5,0.1,Oslo\n1900-02-01,,0.2,Oslo\nbad,3,0.1,Oslo\n2000-01-01,2,0.5,Rome\n")
     ts = store.read_csv(spark, str(tmp_path / "t.csv"), "date", {"temp": "temp", "err": "err"}, {"city": "city"}, "date date, temp double, err double, city string")
     assert ts.series.count() == 4 and ts.samples.count() == 5
+
+
+def test_repeats_without_thresholds(spark):
+    """Repeats of the last sample under `last`, and only those; other policies and older repeats are no matter."""
+    cat = catalog(spark, s={"duplicate_policy": "last"}, t={"duplicate_policy": "max"})
+    rows = [("s", 5, 1), ("s", 5, 1), ("s", 5, 2), ("s", 5, 1), ("s", 9, 1), ("s", 5, 1), ("s", 9, 3, "sum"), ("s", 9, 4), ("s", 9, math.nan), ("t", 5, 1), ("t", 5, 1), ("t", 5, 1, "last")]
+    want = ["accepted", "ignored", "accepted", "accepted", "accepted", "accepted", "accepted", "ignored", "accepted", "accepted", "accepted", "ignored"]
+    assert [r.status for r in ingest.outcomes(log(spark, rows), cat).orderBy("seq").collect()] == want
+    stored = spark.createDataFrame([("s", 5, 1.0)], "series_key string, ts long, value double")
+    assert [r.status for r in ingest.outcomes(log(spark, rows[:1]), cat, stored).collect()] == ["ignored"]
+
+
+def test_what_the_catalog_has_reached(spark):
+    cat = catalog(spark, s={"duplicate_policy": "last", "retention_ms": 10}).selectExpr("*", "100L as last_timestamp")
+    rows = log(spark, [("s", 80, 1), ("s", 95, 1), ("s", 100, 7)])
+    assert [r.status for r in ingest.outcomes(rows, cat).orderBy("seq").collect()] == ["rejected", "accepted", "accepted"]

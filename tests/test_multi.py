@@ -1,13 +1,17 @@
 """Selection, groups, pivots, last points, grammar."""
 
 import math
+import threading
 
 import pytest
+from pyspark.sql import functions as F
 
 from chronoloom.model import alter, copy_series, create, rename_series
 from chronoloom.operators import multi, select
 from chronoloom.plans.grammar import Engine
+from chronoloom.operators.ranges import range_query
 from chronoloom.plans.specs import Buckets, MultiRangeSpec, RangeSpec
+from chronoloom.sources import project
 
 
 @pytest.fixture(scope="module")
@@ -148,3 +152,52 @@ def test_catalog_changes(people):
     for bad in (lambda: create(people, "tester1"), lambda: create(people, "q", labels={"a": "(b"}), lambda: alter(people, "tester1", encoding="compressed"), lambda: create(people, "q", chunk_size=7)):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_read_block(people):
+    e = Engine(people)
+    assert [r.ts for r in e.run("READ tester3 - BLOCK 50 1").collect()] == [5]
+    assert e.run("READ tester3 $ BLOCK 50 1").collect() == []
+    assert [r.ts for r in e.run("READ tester3 0 MAX_COUNT 3 BLOCK 50 3").collect()] == [5]
+    for bad in ("READ k 0 BLOCK 100", "READ k 0 BLOCK -1 1", "READ k 0 BLOCK 5 0", "READ k 0 MAX_COUNT 0", "READ k 0 MAX_COUNT 2 BLOCK 5 3", "READ k -7", "READ k 0 BLOCK 1 1 BLOCK 1 1"):
+        with pytest.raises(ValueError):
+            e.run(bad)
+
+
+def test_read_block_wakes_up(people):
+    e, got = Engine(people), []
+    waiting = threading.Thread(target=lambda: got.extend(e.run("READ tester1 2 BLOCK 0 1").collect()))
+    waiting.start()
+    e.run("ADD tester1 9 4")
+    waiting.join(60)
+    assert [tuple(r) for r in got] == [(9, 4.0)]
+
+
+def test_listing_without_a_shuffle_of_samples(spark, data):
+    """Series without rows are listed, and the samples meet the small side by a broadcast."""
+    ts = project.events(spark, data)
+    out = multi.multi_range(ts, MultiRangeSpec(("measurement=events",), with_labels=True))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan.split("Union")[1].split("BroadcastHashJoin [series_key", 2)[0]
+    assert out.where("ts is not null").count() == ts.samples.count()
+
+
+def test_time_bounds_reach_the_scan(spark, data):
+    ts = project.events(spark, data)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = range_query(ts, "events:click:7", RangeSpec(1704412800000, 1705708800000))._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = plan[plan.index("PushedFilters") :]
+    assert "GreaterThanOrEqual(ts" in pushed and "LessThan(ts" in pushed and "EqualTo(event_type,click)" in pushed
+    lo = 1704412800123
+    assert {tuple(r) for r in ts.between(lo, lo + 86_400_000).collect()} == {tuple(r) for r in ts.samples.where(F.col("ts").between(lo, lo + 86_400_000)).collect()}
+
+
+def test_too_many_time_tags():
+    with pytest.raises(ValueError):
+        RangeSpec(times=tuple(range(200)))
+
+
+def test_copy_onto_a_key_that_exists(people):
+    with pytest.raises(ValueError):
+        copy_series(people, "tester1", "tester2")
