@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.session import checkpointed, sized_join
+from chronoloom.session import TASK_ROWS, checkpointed, sized_join
 
 DAY_MS = 86_400_000
 HOUR_MS = 3_600_000
-#: Rows of one key that a task takes; keys with more are spread over as many tasks as that makes.
-TASK_ROWS = 2_000_000
 
 
 def floor_to(ts: Column, width: Column | int, align: Column | int = 0) -> Column:

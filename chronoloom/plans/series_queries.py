@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoloom.functions.aggregates import column_name
-from chronoloom.model import EngineConfig
+from chronoloom.model import EngineConfig, alter, copy_series, create, rename_series
 from chronoloom.operators import ingest, multi, rules, select
 from chronoloom.operators.ranges import limited, range_query, range_rows
 from chronoloom.plans.specs import Buckets, MultiRangeSpec, RangeSpec
@@ -427,3 +427,32 @@ def rule_refresh(spark: SparkSession, d: str) -> DataFrame:
     after = checkpointed(ingest.fold(log, ts.series, ts.samples))
     before = rules.closed_buckets(ts.samples, ts.rules).withColumnRenamed("dest_key", "series_key")
     return _plain(rules.refresh(before, after, ts.rules, log.select("series_key", "ts")))
+
+
+# --- options, rules and policies of the catalog
+_CREATED = f"SELECT '{ONE}' AS source_key, '{ONE}_' || a AS dest_key, g AS agg, b AS bucket_ms, c AS align_ms FROM (VALUES"
+
+
+@_query("create_rules", f"{_CREATED} ('one', 'sum', {HOUR}, 0), ('two', 'twa', {DAY}, 5)) v(a, g, b, c)")
+def create_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Rules that were created, without one that was deleted again."""
+    ts = project.events(spark, d)
+    for name, agg, width, align in (("one", "SUM", HOUR, 0), ("two", "twa", DAY, 5), ("three", "max", DAY, 0)):
+        ts = rules.create_rule(create(ts, f"{ONE}_{name}"), ONE, f"{ONE}_{name}", agg, width, align)
+    return rules.delete_rule(ts, ONE, f"{ONE}_three").rules.select("source_key", "dest_key", "agg", "bucket_ms", "align_ms")
+
+
+@_query("default_policies", f"{_CREATED} ('MAX_60000_60000', 'max', 60000, 60000), ('MIN_10000', 'min', 10000, 0), ('LAST_300000', 'last', 300000, 0)) v(a, g, b, c)")
+def default_policies(spark: SparkSession, d: str) -> DataFrame:
+    """Rules and destinations that a string of policies asks for; those without a destination in the catalog are left out."""
+    ts = rules.apply_policies(project.events(spark, d), ONE, "max:1M:1h:1M;min:10s:10d:0m;last:5M:10m")
+    made = ts.rules.join(ts.series.select(F.col("series_key").alias("dest_key")), "dest_key")
+    return made.select("source_key", "dest_key", "agg", "bucket_ms", "align_ms")
+
+
+_query("alter_series", f"WITH {_S}, l AS (SELECT max(ts) AS last FROM s WHERE series_key = '{ONE}') SELECT ts, round(value, 6) AS value FROM s, l WHERE series_key = '{ONE}' AND ts >= last - {3 * DAY}")(
+    lambda spark, d: _plain(range_query(alter(project.events(spark, d), ONE, retention_ms=3 * DAY), ONE, RangeSpec()))
+)
+_query("copy_and_rename", f"WITH {_S} SELECT 'copied' AS series_key, ts, round(value, 6) AS value FROM s WHERE series_key = '{ONE}' UNION ALL SELECT 'renamed', ts, round(value, 6) FROM s WHERE series_key = '{ONE}'")(
+    lambda spark, d: _plain(rename_series(copy_series(project.events(spark, d), ONE, "copied"), ONE, "renamed").samples.where(F.col("series_key").isin("copied", "renamed", ONE)))
+)

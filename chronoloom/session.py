@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 #: A side is broadcast only if a count proves it to be within both bounds.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32 << 20
-#: Copies of the small side in a salted join, the way taken beyond the bounds.
-SALTS = 16
+#: Rows of one key that a task takes in a join beyond the bounds; keys with more are spread over as many tasks as that makes.
+TASK_ROWS = 2_000_000
 
 
 def session(app: str = "chronoloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -87,22 +87,28 @@ def sized_join(
     how: str = "inner",
     rows: int = BROADCAST_ROWS,
     nbytes: int = BROADCAST_BYTES,
-    salts: int = SALTS,
+    task_rows: int = TASK_ROWS,
     salt_of: list[str] | None = None,
     once: bool = False,
 ) -> DataFrame:
     """Join of a large skewed side with a small one (`how`: inner, left or left_semi).
 
-    The small side is broadcast only after its size was checked. Beyond the bound the large side is split by a
-    salt (a hash of `salt_of`, by default of all other columns) and the small side is repeated once per salt, so a
-    key that holds a third of all rows is spread over `salts` tasks. With `once` the small side is checkpointed first:
-    for sides that take a pass over large tables, which the check of their size would repeat.
+    The small side is broadcast only after its size was checked. Beyond the bound both sides are shuffled by the key.
+    There a count by key finds keys with more than `task_rows` rows of the large side; the rows of such a key get a salt (a
+    hash of `salt_of`, by default of all other columns) of as many values as its rows need tasks, and the small side's
+    rows of that key are repeated once per salt. Other keys are not repeated. With `once` the small side is
+    checkpointed first: for sides that take a pass over large tables, which the check of their size would repeat.
     """
     if once:
         small = checkpointed(small)
     if is_bounded(small, rows, nbytes):
         return big.join(F.broadcast(small), on, how)
+    hot = big.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > task_rows)
+    hot = checkpointed(hot.select(*on, F.ceil(F.col("_n") / F.lit(task_rows)).cast("int").alias("_salts")))
+    if not is_bounded(hot) or hot.isEmpty():  # so many hot keys balance each other
+        return big.join(small, on, how)
     names = salt_of or [c for c in big.columns if c not in on] or on
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in names]), F.lit(salts)).cast("int"))
-    spread = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    hot, salts = F.broadcast(hot), F.coalesce("_salts", F.lit(1))
+    salted = big.join(hot, on, "left").withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in names]), salts).cast("int")).drop("_salts")
+    spread = small.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
     return salted.join(spread, [*on, "_salt"], how).drop("_salt")

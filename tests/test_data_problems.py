@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from chronoloom import session
 from chronoloom.operators import grid, hotkeys, late, readings, rolling
 from chronoloom.operators.readings import DAY_MS, HOUR_MS
 from chronoloom.streaming.late import Replay
@@ -241,3 +242,28 @@ def test_copies_are_forgotten_with_the_cut_off():
         state.add(seq, seq * 60_000, 1.0)
         state.forget()
     assert len(state.seen) < 1000 and state.add(4999, 4999 * 60_000, 1.0)[0] == "copy" and state.add(3, 180_000, 1.0)[0] == "beyond"
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_hot_keys_of_a_large_join(spark, how):
+    """Beyond the bounds of a broadcast: a key with most rows is salted, with the result of a plain join."""
+    big = spark.createDataFrame([("a" if i % 3 else f"k{i % 7}", i) for i in range(300)] + [(None, 5), ("a", 1)], "key string, i long")
+    small = spark.createDataFrame([("a", 1), ("a", 2), ("k0", 3), ("k1", 3), ("zz", 4), (None, 9)], "key string, v long")
+    want = sorted(map(repr, big.join(small, ["key"], how).collect()))
+    assert sorted(map(repr, session.sized_join(big, small, ["key"], how, rows=1, task_rows=20).collect())) == want
+    assert sorted(map(repr, session.sized_join(big, small, ["key"], how, rows=1, task_rows=1000).collect())) == want
+
+
+def test_checkpoints_need_a_shared_folder(spark):
+    class Context:
+        master = "spark://host:7077"
+        _jsc = property(lambda self: self)
+        sc = getCheckpointDir = lambda self: self
+        isDefined = lambda self: False
+
+    class Session:
+        sparkContext = Context()
+        conf = property(lambda self: {})
+
+    with pytest.raises(RuntimeError):
+        session.shared_checkpoints(Session())
