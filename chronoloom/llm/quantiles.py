@@ -203,7 +203,7 @@ def _fold(k: int, high: bool, merging: bool):
 
 
 def sketch_partitions(rows: DataFrame, key: str, value: str, k: int = K, high: bool = True) -> DataFrame:
-    """Partial sketches (key, n, sketch): one per key and partition of `rows`, nothing is shuffled.
+    """Partial sketches (key, n, sketch): one per key and partition of `rows`; this step shuffles nothing.
 
     Rows whose key or value is null or whose value is NaN are left out.
     """
@@ -212,11 +212,14 @@ def sketch_partitions(rows: DataFrame, key: str, value: str, k: int = K, high: b
     return clean.sortWithinPartitions("key").mapInArrow(_fold(k, high, False), f"key string, {SKETCH}")
 
 
-def merge_sketches(sketches: DataFrame, k: int = K, high: bool = True, salts: int = 8) -> DataFrame:
+def merge_sketches(sketches: DataFrame, k: int = K, high: bool = True, salts: int | None = None) -> DataFrame:
     """One sketch per key out of partial ones (key, n, sketch), as of partitions, days or files.
 
     Two steps: partial sketches of a key are first merged by `salts` tasks, so no task receives all those of a hot key.
+    A key has a partial sketch for each partition at most, so by default there are as many salts as the root of the
+    shuffle partitions: either step then merges about that many sketches of a key.
     """
+    salts = salts or max(8, math.isqrt(int(sketches.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     fold = _fold(k, high, True)
     kind = f"key string, {SKETCH}"
     salted = sketches.select("key", "sketch", F.pmod(F.xxhash64("sketch"), F.lit(salts)).alias("_salt"))
