@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,8 @@ from chronoloom.session import sized_join
 LOG = ["series_key", "ts", "value", "seq"]
 
 
-def _policies(log: DataFrame, series: DataFrame, config: EngineConfig) -> DataFrame:
-    """Policy of each row: the row's, else the series', else the module's; retention and thresholds of its series."""
+def _policies(log: DataFrame, series: DataFrame, config: EngineConfig) -> tuple[DataFrame, bool, bool]:
+    """Policy of each row (the row's, else the series', else the module's) and options of its series; whether any series has thresholds, a retention."""
     cat = catalog(series).groupBy("series_key").agg(
         F.max("duplicate_policy").alias("_p"), F.max("retention_ms").alias("_ret"), F.max("ignore_max_time_diff").alias("_dt"), F.max("ignore_max_val_diff").alias("_dv")
     )
@@ -37,9 +38,11 @@ def _policies(log: DataFrame, series: DataFrame, config: EngineConfig) -> DataFr
     else:
         cat = cat.withColumn("_lt", F.lit(None).cast("long"))
     own = F.col("on_duplicate") if "on_duplicate" in log.columns else F.lit(None).cast("string")
+    some = cat.agg(F.max((F.col("_dt") > 0) | (F.col("_dv") > 0)), F.max(F.col("_ret") > 0)).first()
     rows = sized_join(log.select(*LOG, own.alias("_own")), cat, ["series_key"], "left", salt_of=["seq"])
     policy = F.lower(F.coalesce(F.col("_own"), F.col("_p"), F.lit(config.duplicate_policy)))
-    return rows.select(*LOG, policy.alias("policy"), "_lt", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("_ret", "_dt", "_dv")])
+    out = rows.select(*LOG, policy.alias("policy"), "_lt", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("_ret", "_dt", "_dv")])
+    return out, bool(some[0]), bool(some[1])
 
 
 def _suppress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,45 +122,58 @@ def _merge(old: Column, new: Column, policy: Column) -> Column:
     )
 
 
-def outcomes(log: DataFrame, series: DataFrame, stored: DataFrame | None = None, config: EngineConfig = EngineConfig(), block: int = BLOCK) -> DataFrame:
+def outcomes(log: DataFrame, series: DataFrame, stored: DataFrame | None = None, config: EngineConfig = EngineConfig(), block: int = BLOCK, repeats: bool = True) -> DataFrame:
     """Each row of the log with its policy and status: `unreadable`, `rejected` (beyond retention), `ignored` or `accepted`.
 
     What a series has reached when the log begins is the greatest time tag of `stored` and the catalog's last_timestamp,
     if there are such. Under the policy `last` a number is ignored if its time tag is not below the last sample's and both
-    differences are within the series' thresholds; with thresholds of 0 these are repeats of the last sample.
+    differences are within the series' thresholds; with thresholds of 0 these are repeats of the last sample. Such repeats
+    change no stored sample; with `repeats` False they count as accepted.
 
     Unreadable rows have no key, no value, no or a negative ts, no seq, or an unknown policy. A row with an accepted status may still
     be refused by the policy `block` if its time tag is taken.
     """
-    rows = _policies(log, series, config)
+    rows, thresholds, aged = _policies(log, series, config)
     fine = F.col("series_key").isNotNull() & F.col("ts").isNotNull() & (F.col("ts") >= 0) & F.col("value").isNotNull() & F.col("seq").isNotNull() & F.col("policy").isin("block", "first", "last", "min", "max", "sum")
-    rows = rows.withColumn("_fine", F.coalesce(fine, F.lit(False))).withColumn("_blk", F.floor(F.col("seq") / F.lit(block)).cast("long"))
-    # the greatest time tag before each row: of earlier blocks, then within the block; rejected rows can't raise it
-    tops = rows.where("_fine").groupBy("series_key", "_blk").agg(F.max("ts").alias("_top"))
-    before = Window.partitionBy("series_key").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    tops = tops.select("series_key", "_blk", F.max("_top").over(before).alias("_old"))
-    within = Window.partitionBy("series_key", "_blk").orderBy("seq").rangeBetween(Window.unboundedPreceding, -1)
-    rows = rows.join(tops, ["series_key", "_blk"], "left")
-    if stored is not None:
+    rows = rows.withColumn("_fine", F.coalesce(fine, F.lit(False)))
+    readable = F.when(~F.col("_fine"), "unreadable").otherwise("accepted").alias("status")
+    strict = (F.col("_dt") > 0) | (F.col("_dv") > 0)
+    parts = []
+    if not repeats:  # what has neither thresholds nor a retention depends on no other row
+        parts.append(rows.where(~strict & (F.col("_ret") <= 0)).select(*LOG, "policy", readable))
+    if stored is not None and (repeats or thresholds or aged):
         base = stored.groupBy("series_key").agg(F.max("ts").alias("_t0"), F.max_by("value", "ts").alias("_v0"))
         rows = sized_join(rows, base, ["series_key"], "left", salt_of=["seq"], once=True)
     else:
         rows = rows.withColumns({"_t0": F.lit(None).cast("long"), "_v0": F.lit(None).cast("double")})
     known = F.col("_lt").isNull() | (F.col("_t0") >= F.col("_lt"))  # else the last sample is one that isn't stored
     rows = rows.withColumns({"_v0": F.when(known, F.col("_v0")), "_t0": F.greatest("_t0", "_lt")})
+    if repeats or aged:
+        plain = _judged(rows.where(~strict if repeats else ~strict & (F.col("_ret") > 0)), block)
+        if repeats:
+            top = (F.col("status") == "accepted") & (F.col("policy") == "last") & (F.col("ts") == F.col("_last"))
+            plain = plain.withColumn("_top", F.max(F.coalesce(top, F.lit(False))).over(Window.partitionBy("series_key", "ts"))).sortWithinPartitions("series_key", "ts", "seq")
+            plain = plain.mapInArrow(_repeats, plain.schema)
+        parts.append(plain.select(*LOG, "policy", "status"))
+    if thresholds:
+        # suppressed rows may not raise the greatest time tag, so the stream keeps it and judges retention itself
+        one = rows.where(strict).select(*LOG, "policy", "_dt", "_dv", "_ret", "_t0", "_v0", readable).repartition("series_key").sortWithinPartitions("series_key", "seq")
+        parts.append(one.mapInArrow(_suppress, one.schema).select(*LOG, "policy", "status"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _judged(rows: DataFrame, block: int) -> DataFrame:
+    """`rows` with `_last`, the greatest time tag before each row, and the status by it; rejected rows can't raise it."""
+    rows = rows.withColumn("_blk", F.floor(F.col("seq") / F.lit(block)).cast("long"))
+    tops = rows.where("_fine").groupBy("series_key", "_blk").agg(F.max("ts").alias("_top"))
+    before = Window.partitionBy("series_key").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select("series_key", "_blk", F.max("_top").over(before).alias("_old"))
+    within = Window.partitionBy("series_key", "_blk").orderBy("seq").rangeBetween(Window.unboundedPreceding, -1)
+    rows = rows.join(tops, ["series_key", "_blk"], "left")
     rows = rows.withColumn("_last", F.greatest("_t0", "_old", F.max(F.when(F.col("_fine"), F.col("ts"))).over(within)))
     late = (F.col("_ret") > 0) & (F.col("_last") > F.col("ts")) & (F.col("_last") - F.col("ts") > F.col("_ret"))
     status = F.when(~F.col("_fine"), "unreadable").when(F.coalesce(late, F.lit(False)), "rejected").otherwise("accepted")
-    rows = rows.select(*LOG, "policy", "_dt", "_dv", "_ret", "_t0", "_v0", "_last", status.alias("status"))
-    strict = (F.col("_dt") > 0) | (F.col("_dv") > 0)
-    top = (F.col("status") == "accepted") & (F.col("policy") == "last") & (F.col("ts") == F.col("_last"))
-    plain = rows.where(~strict).drop("_dt", "_dv", "_ret")
-    plain = plain.withColumn("_top", F.max(F.coalesce(top, F.lit(False))).over(Window.partitionBy("series_key", "ts"))).sortWithinPartitions("series_key", "ts", "seq")
-    plain = plain.mapInArrow(_repeats, plain.schema).select(*LOG, "policy", "status")
-    # suppressed rows may not raise the greatest time tag, so the stream keeps it and judges retention itself
-    one = rows.where(strict).drop("_last").repartition("series_key").sortWithinPartitions("series_key", "seq")
-    kept = one.mapInArrow(_suppress, one.schema).select(*LOG, "policy", "status")
-    return plain.unionByName(kept)
+    return rows.select(*LOG, "policy", "_t0", "_v0", "_last", status.alias("status"))
 
 
 def fold(log: DataFrame, series: DataFrame, stored: DataFrame | None = None, config: EngineConfig = EngineConfig()) -> DataFrame:
@@ -166,7 +182,7 @@ def fold(log: DataFrame, series: DataFrame, stored: DataFrame | None = None, con
     `stored` holds the samples from before the log. Rows with equal time tags are merged in order of arrival (of rows
     with the same seq the one of the least value first).
     """
-    rows = outcomes(log, series, stored, config).where(F.col("status") == "accepted").select("series_key", "ts", "seq", "value", "policy")
+    rows = outcomes(log, series, stored, config, repeats=False).where(F.col("status") == "accepted").select("series_key", "ts", "seq", "value", "policy")
     if stored is not None:
         rows = rows.unionByName(stored.select("series_key", "ts", F.lit(-(1 << 63)).alias("seq"), "value", F.lit("last").alias("policy")))
     each = rows.groupBy("series_key", "ts").agg(F.sort_array(F.collect_list(F.struct("seq", "value", "policy"))).alias("_r"))

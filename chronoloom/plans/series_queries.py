@@ -404,6 +404,20 @@ FROM a JOIN l USING (dest_key, d, align_ms) WHERE b = ob AND dest_key IN (SELECT
 )(lambda spark, d: _plain(_latest(spark, d, F.lower(F.trim("agg")) == "twa")))
 
 
+_CLOSED = f"WITH {_RULE} SELECT g.dest_key AS series_key, g.b AS ts, g.value FROM g JOIN l USING (dest_key, bucket_ms, align_ms, agg) WHERE g.b < ob"
+_CLOSED_TWA = _TWA.replace(f"{_M}, ", "", 1) + """ SELECT dest_key AS series_key, b AS ts, CASE WHEN sum(width) > 0 THEN sum(area) / sum(width) ELSE max_by(value, ts) END AS value
+FROM a JOIN l USING (dest_key, d, align_ms) WHERE b < ob GROUP BY dest_key, d, align_ms, b"""
+_OPEN = f"WITH {_RULE} SELECT g.dest_key AS series_key, g.b AS ts, g.value FROM g JOIN l USING (dest_key, bucket_ms, align_ms, agg) WHERE g.b = ob AND dest_key IN (SELECT series_key FROM series) AND dest_key NOT IN (SELECT series_key FROM m WHERE ts >= ob)"
+_OPEN_TWA = _TWA.replace(f"{_M}, ", "", 1) + """ SELECT dest_key AS series_key, b AS ts, CASE WHEN sum(width) > 0 THEN sum(area) / sum(width) ELSE max_by(value, ts) END AS value
+FROM a JOIN l USING (dest_key, d, align_ms) WHERE b = ob AND dest_key IN (SELECT series_key FROM series) AND dest_key NOT IN (SELECT series_key FROM m WHERE m.ts >= ob) GROUP BY dest_key, d, align_ms, b"""
+_query("rule_latest_all", f"WITH {_M} SELECT series_key, ts, round(value, 6) AS value FROM (SELECT * FROM ({_OPEN}) UNION ALL SELECT * FROM ({_OPEN_TWA}))")(
+    lambda spark, d: _plain(_latest(spark, d, F.lit(True)))
+)
+_query("rule_closed_all", f"WITH {_M} SELECT series_key, ts, round(value, 6) AS value FROM (SELECT * FROM ({_CLOSED}) UNION ALL SELECT * FROM ({_CLOSED_TWA}))")(
+    lambda spark, d: _plain(rules.closed_buckets(project.monitoring(spark, d).samples, table(spark, d, "rules")).withColumnRenamed("dest_key", "series_key"))
+)
+
+
 def _latest(spark: SparkSession, d: str, which: Column) -> DataFrame:
     ts = project.monitoring(spark, d)
     return rules.open_buckets(type(ts)(ts.samples, ts.series, ts.rules.where(which)), ts.series)
@@ -412,9 +426,6 @@ def _latest(spark: SparkSession, d: str, which: Column) -> DataFrame:
 #: What all rules have written once the log is folded into the stored samples.
 _STORED = _M.replace("m AS", "m0 AS", 1)
 _AFTER = ", ".join(x.replace("FROM m ", "FROM m0 ") for x in (_LOG, _FOLD))
-_CLOSED = f"WITH {_RULE} SELECT g.dest_key AS series_key, g.b AS ts, g.value FROM g JOIN l USING (dest_key, bucket_ms, align_ms, agg) WHERE g.b < ob"
-_CLOSED_TWA = _TWA.replace(f"{_M}, ", "", 1) + """ SELECT dest_key AS series_key, b AS ts, CASE WHEN sum(width) > 0 THEN sum(area) / sum(width) ELSE max_by(value, ts) END AS value
-FROM a JOIN l USING (dest_key, d, align_ms) WHERE b < ob GROUP BY dest_key, d, align_ms, b"""
 _REFRESHED = f"""WITH RECURSIVE {_STORED}, {_AFTER}, m AS (SELECT series_key, ts, value FROM f)
 SELECT series_key, ts, round(value, 6) AS value FROM (SELECT * FROM ({_CLOSED}) UNION ALL SELECT * FROM ({_CLOSED_TWA}))"""
 
