@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chronoloom.operators.neighbours import with_neighbours
 from chronoloom.operators.readings import TASK_ROWS, floor_to, numbers
 from chronoloom.operators.twa import area_and_width
-from chronoloom.session import checkpointed, sized_join
+from chronoloom.session import checkpointed, is_bounded, sized_join
 
 #: Periods of a block at most, and entries of any array that makes periods or blocks; bounds the work of a step, not the result.
 STEP = 4096
@@ -36,9 +36,14 @@ def clean_rules(rules: DataFrame, *more: str) -> DataFrame:
     )
 
 
-def _placed(samples: DataFrame, rules: DataFrame) -> DataFrame:
+def _with_rules(rows: DataFrame, rules: DataFrame, on: str, fits: bool, salt_of: str) -> DataFrame:
+    """`rows` joined with a part of the rules; `fits` tells that all of them are within the bounds of a broadcast."""
+    return rows.join(F.broadcast(rules), on) if fits else sized_join(rows, rules, [on], salt_of=[salt_of])
+
+
+def _placed(samples: DataFrame, rules: DataFrame, fits: bool) -> DataFrame:
     """Stored numbers by each rule of their series: rule, at (start of the block), period, bucket_ms, ts, value."""
-    rows = sized_join(numbers(samples), rules.select("series_key", "rule", "bucket_ms", "align_ms", "span_ms"), ["series_key"], salt_of=["ts"])
+    rows = _with_rules(numbers(samples), rules.select("series_key", "rule", "bucket_ms", "align_ms", "span_ms"), "series_key", fits, "ts")
     at, period = floor_to(F.col("ts"), F.col("span_ms"), F.col("align_ms")), floor_to(F.col("ts"), F.col("bucket_ms"), F.col("align_ms"))
     return rows.select("rule", at.alias("at"), period.alias("period"), "bucket_ms", "ts", "value")
 
@@ -63,7 +68,7 @@ def _blocks(ends: DataFrame, rules: DataFrame) -> DataFrame:
     prev (t, v) and next (t, v), null where there is none.
     """
     spans = ends.groupBy("rule").agg(F.min("at").alias("_lo"), F.max("at").alias("_hi"), F.min("first.t").alias("_t0"), F.max("last.t").alias("_t1"))
-    spans = sized_join(spans, rules.select("rule", "bucket_ms", "align_ms", "span_ms"), ["rule"])
+    spans = spans.join(rules.select("rule", "bucket_ms", "align_ms", "span_ms"), "rule")  # a row per rule on either side
     outer, inner = _steps(F.col("_lo"), F.col("_hi"), F.col("span_ms"))
     every = spans.withColumn("_s", outer).withColumn("at", inner).join(ends.select("rule", "at", "first", "last"), ["rule", "at"], "left")
     w = Window.partitionBy("rule").rowsBetween(Window.unboundedPreceding, -1)
@@ -179,7 +184,8 @@ def regular_grid(samples: DataFrame, rules: DataFrame, max_gap_ms: int = MAX_GAP
     span = F.col("bucket_ms") * F.greatest(F.lit(1), F.least(F.lit(STEP), F.floor(F.lit(BLOCK_MS) / F.col("bucket_ms"))))
     # rows between the steps carry a number for their rule in place of its names; it is fixed by the checkpoint
     rules = checkpointed(rules.withColumns({"rule": F.monotonically_increasing_id(), "span_ms": span.cast("long")}))
-    ends = checkpointed(_ends(_placed(samples, rules)))
+    fits = is_bounded(rules)
+    ends = checkpointed(_ends(_placed(samples, rules, fits)))
     hot = ends.where(F.col("n") > task_rows).select("rule", "at", F.ceil(F.col("n") / F.lit(task_rows)).alias("_k"))
     spread = not hot.isEmpty()
     out = None
@@ -188,7 +194,7 @@ def regular_grid(samples: DataFrame, rules: DataFrame, max_gap_ms: int = MAX_GAP
         if own.isEmpty():
             continue
         blocks = _blocks(ends.join(own.select("rule"), "rule", "left_semi"), own)
-        placed = _placed(samples, own)
+        placed = _placed(samples, own, fits)
         parts = [(placed, blocks, None)]
         if spread:
             marked = sized_join(placed, hot, ["rule", "at"], "left", salt_of=["ts"])
@@ -198,8 +204,8 @@ def regular_grid(samples: DataFrame, rules: DataFrame, max_gap_ms: int = MAX_GAP
             one = _filled(p, b, twa, h, max_gap_ms)
             out = one if out is None else out.unionByName(one)
     if out is None:
-        out = _filled(_placed(samples, rules), _blocks(ends, rules), False, None, max_gap_ms)
-    out = sized_join(out, rules.select("rule", "dest_key", "bucket_ms", "agg"), ["rule"], salt_of=["period_start"])
+        out = _filled(_placed(samples, rules, fits), _blocks(ends, rules), False, None, max_gap_ms)
+    out = _with_rules(out, rules.select("rule", "dest_key", "bucket_ms", "agg"), "rule", fits, "period_start")
     value = F.when(F.col("state") == "read", _value(F.col("agg"))).when(F.col("state") == "filled", F.col("_carry"))
     return out.select("dest_key", "bucket_ms", "period_start", "state", "gap_ms", "n", "agg", value.alias("value"))
 
